@@ -62,6 +62,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
@@ -105,9 +111,29 @@ from m group by conv_id
 """
 
 
+OP3_SQL = f"""
+with recursive words as (
+  select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+shingles as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) as s from words),
+sized as (select doc_id, len(s) as n, list_sort(s) as s from shingles),
+class as (select min(doc_id) as c, n, s from sized where n > 0 group by n, s),
+tokens as (select c, n, unnest(s) as t from class),
+pairs as (select a.c as x, b.c as y, a.n + b.n as total, count(*) as i from tokens a join tokens b on a.t = b.t and a.c < b.c
+          and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2, 3),
+links as (select x, y from pairs where 100 * i >= 80 * (total - i)),
+edges as (select x as a, y as b from links union all select y, x from links),
+reach(a, b) as (select c, c from class union select r.a, e.b from reach r join edges e on r.b = e.a),
+label as (select a, min(b) as component_id from reach group by a)
+select d.doc_id, d.n as n_shingles, coalesce(l.component_id, d.doc_id) as component_id
+from sized d left join class k on d.n = k.n and d.s = k.s left join label l on k.c = l.a
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_packing, op5_line_dedup, op6_toxicity, op7_quality, op8_chat_formatting, op9_token_output)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_ngram_join, op4_packing, op5_line_dedup, op6_toxicity, op7_quality, op8_chat_formatting, op9_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_ngram_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_chat_formatting": OP8_SQL}
