@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, text_of
+from .common import SPACE, ascii_lower, text_of, written
 
 MIN_CHARS = 10
 _LAST = (1 << 63) - 1
@@ -40,7 +40,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     base = docs.select(own.alias("_id"), F.xxhash64(text_of()).alias("_row"), _hashed(lines, min_chars).alias("_h"))
     keys = base.select("_id", F.explode(F.array_distinct("_h")).alias("k")).where("k is not null")
     # Found in two documents or more: the smallest and the largest id differ.
-    shared = keys.groupBy("k.a", "k.b").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").drop("last")
+    shared = keys.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last").drop("last")
+    # Written, so that both sides of the next join are plain shuffles and AQE can split a frequent line.
+    shared = written(shared, "lines")
     at = base.select("_id", "_row", F.posexplode("_h").alias("pos", "k")).where("k is not null").select("_id", "_row", "pos", "k.a", "k.b")
     dropped = at.join(shared, ["a", "b"]).where("_id > first").groupBy("_id", "_row").agg(F.sort_array(F.collect_set("pos")).alias("_gone")).select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), "_gone")
     joined = docs.withColumns({"_id": own, "_row": F.xxhash64(text_of())}).join(dropped, (F.col("_id") == F.col("_id2")) & (F.col("_row") == F.col("_row2")), "left")
