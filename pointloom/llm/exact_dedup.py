@@ -41,8 +41,13 @@ def dictionary(chunked: DataFrame, hashed=chunk_hash) -> DataFrame:
 
 
 def clashes(chunks: DataFrame) -> DataFrame:
-    """Chunks whose hash stands for more than one text, numbered within the hash. Almost always empty."""
-    shared = chunks.groupBy("h").count().where("count > 1").select("h")
+    """Chunks whose hash stands for more than one text, numbered within the hash. Almost always empty.
+
+    First only hashes are counted; the texts move again only if one is ambiguous.
+    """
+    shared = written(chunks.groupBy("h").count().where("count > 1").select("h"), "ambiguous")
+    if shared.isEmpty():
+        return chunks.sparkSession.createDataFrame([], "h long, chunk string, nth int")
     return chunks.join(shared, "h", "left_semi").select("h", "chunk", F.row_number().over(Window.partitionBy("h").orderBy("chunk")).alias("nth"))
 
 
@@ -53,7 +58,7 @@ def recipes(docs: DataFrame, hashed=chunk_hash, least: int = MIN_CHUNK, most: in
         norm.select("doc_id", F.sha2(F.array_join("chunks", ""), 256).alias("text_sha256"), F.transform("chunks", hashed).alias("recipe")).groupBy("doc_id", "text_sha256", "recipe").agg(F.count(F.lit(1)).alias("copies")),
         "recipes",
     )
-    bad = written(clashes(dictionary(norm, hashed)), "clashes")
+    bad = clashes(dictionary(norm, hashed))
     if bad.isEmpty():  # verified: each hash stands for one text
         return table.select("doc_id", "text_sha256", "recipe", F.array().cast("array<int>").alias("nth"))
     # Some hashes are ambiguous: those chunks also carry their number within the hash.
