@@ -74,6 +74,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -132,7 +138,7 @@ from sized d left join class k on d.n = k.n and d.s = k.s left join label l on k
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_ngram_join, op4_packing, op5_line_dedup, op6_toxicity, op7_quality, op8_chat_formatting, op9_token_output)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_ngram_join, op4_packing, op5_line_dedup, op6_toxicity, op7_quality, op8_chat_formatting, op9_token_output, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
