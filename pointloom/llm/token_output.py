@@ -5,9 +5,10 @@ as ORC: one file per range, rows in ascending doc_id order. ORC stores the ids a
 run-length encoded integers in stripes; row indexes and a Bloom filter on doc_id
 let a reader skip stripes, and stripes can be read in parallel.
 
-Encoding is exact: the tokenizers library encodes each distinct pre-token once
-per batch and the ids are put together; texts with characters outside Latin, or
-with a special token's string, are encoded whole.
+Encoding is exact: texts are split into pre-tokens, the tokenizers library's model
+encodes each distinct one once in a worker's memory, and the ids are put together;
+texts with characters outside Latin, or with a special token's string, are encoded
+whole by the library.
 
 Results in special cases: a null text counts as empty and yields the end id only;
 rows repeated with one doc_id follow each other in the order of their text; null
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from struct import pack
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,43 +30,68 @@ from pyspark.sql.window import Window
 from .common import shared_dir, text_of
 
 END_ID = 2
-#: Fixed value: how byte-level BPE splits a text into pre-tokens.
-PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with these go whole to the tokenizer: there the two pattern engines might differ.
+#: Fixed value: how byte-level BPE splits a text into pre-tokens, for characters up to U+024F.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+PRETOKEN = rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
+#: Texts with these go whole to the tokenizer.
 UNUSUAL = r"[\x00-\x08\x0e-\x1f\x7f-\xa0\xadɐ-\U0010ffff]"
-CACHE, BATCH_CHARS = 300_000, 1_000_000
+CACHE, BATCH_CHARS = 1_000_000, 1_000_000
+
+
+class _Pieces(dict):
+    """pre-token → ids as bytes, by the tokenizer's own model; forgotten beyond a bound."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+        # The byte-level alphabet: printable bytes stand for themselves, others for U+0100 and on.
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: 0x100 + i for i, b in enumerate(others)}
+
+    def __missing__(self, piece: str) -> bytes:
+        tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+        v = self[piece] = pack(f"<{len(tokens)}i", *[t.id for t in tokens])
+        return v
 
 
 class Encoder:
-    """Ids of texts, equal to tokenizer.encode(text, add_special_tokens=False).ids."""
+    """Ids of texts as little-endian 32-bit integers, equal to tokenizer.encode(text, add_special_tokens=False).ids."""
 
     def __init__(self, spec: str):
         import json
+        import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
         d = json.loads(spec)
         pre = d.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not d.get("normalizer") and d["model"]["type"] == "BPE"
-        special = [regex.escape(t["content"]) for t in d.get("added_tokens") or []]
-        self.whole = regex.compile("|".join([UNUSUAL, *special]))
-        self.split = regex.compile(PRETOKEN).findall
-        self.known: dict[str, list[int]] = {}
-
-    def batch(self, texts: list[str]) -> list[list[int]]:
-        from itertools import chain
-
+        special = [re.escape(t["content"]) for t in d.get("added_tokens") or []]
+        self.whole = re.compile("|".join([UNUSUAL, *special])).search
+        self.split = re.compile(PRETOKEN).findall
+        self.known = _Pieces(self.tok.model)
+
+    @staticmethod
+    def of(spec: str) -> Encoder:
+        """The encoder of this worker process; later tasks find it warm."""
+        import hashlib
+        import sys
+        import types
+
+        kept = sys.modules.setdefault("_pointloom_encoders", types.ModuleType("_pointloom_encoders")).__dict__
+        key = hashlib.sha256(spec.encode()).hexdigest()
+        if key not in kept:
+            kept[key] = Encoder(spec)
+        return kept[key]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
-            return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+            return [np.array(e.ids, "<i4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         if len(self.known) > CACHE:
             self.known.clear()
-        pieces = [None if self.whole.search(t) else self.split(t) for t in texts]
-        new = list({p for ps in pieces if ps for p in ps} - self.known.keys())
-        self.known.update(zip(new, (e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         get = self.known.__getitem__
-        return [self.tok.encode(t, add_special_tokens=False).ids if ps is None else list(chain.from_iterable(map(get, ps))) for t, ps in zip(texts, pieces, strict=True)]
+        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<i4").tobytes() if self.whole(t) else b"".join(map(get, self.split(t))) for t in texts]
 
 
 def encoded(docs: DataFrame, tokenizer_json: str, end_id: int | None = END_ID) -> DataFrame:
@@ -74,7 +102,7 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int | None = END_ID) -
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc, end = Encoder(spec.value), [] if end_id is None else [end_id]
+        enc, end = Encoder.of(spec.value), b"" if end_id is None else end_id.to_bytes(4, "little")
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             start = 0
@@ -83,7 +111,9 @@ def encoded(docs: DataFrame, tokenizer_json: str, end_id: int | None = END_ID) -
                 while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= BATCH_CHARS):
                     chars += len(texts[stop])
                     stop += 1
-                out = pa.array([x + end for x in enc.batch(texts[start:stop])], pa.list_(pa.int32()))
+                got = [x + end for x in enc.batch(texts[start:stop])]
+                ends = np.append(0, np.cumsum([len(x) // 4 for x in got])).astype(np.int32)
+                out = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
                 yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), out], ["doc_id", "ids"])
                 start = stop
 
@@ -128,8 +158,6 @@ def token_digest(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        import numpy as np
-
         for b in batches:
             lists = b.column(1)
             flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
