@@ -1,4 +1,4 @@
 """All registered queries of the library."""
 
-from . import camera, scene, segments  # noqa: F401
+from . import camera, runs, scene, segments  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
