@@ -35,6 +35,8 @@ _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 PRETOKEN = rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
 #: Texts with these go whole to the tokenizer.
 UNUSUAL = r"[\x00-\x08\x0e-\x1f\x7f-\xa0\xadɐ-\U0010ffff]"
+#: Bytes of UTF-8 that such characters have; C2 starts some usual ones too.
+_SUSPECT = bytes([*range(0x09), *range(0x0E, 0x20), 0x7F, 0xC2, *range(0xC9, 0x100)])
 CACHE, BATCH_CHARS = 1_000_000, 1_000_000
 
 
@@ -49,7 +51,8 @@ class _Pieces(dict):
         self.alphabet = {b: 0x100 + i for i, b in enumerate(others)}
 
     def __missing__(self, piece: str) -> bytes:
-        tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+        plain = piece.isascii() and piece.isprintable()
+        tokens = self.tokenize(piece.replace(" ", "\u0120") if plain else piece.encode().decode("latin-1").translate(self.alphabet))
         v = self[piece] = pack(f"<{len(tokens)}i", *[t.id for t in tokens])
         return v
 
@@ -67,11 +70,16 @@ class Encoder:
         d = json.loads(spec)
         pre = d.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not d.get("normalizer") and d["model"]["type"] == "BPE"
-        special = [re.escape(t["content"]) for t in d.get("added_tokens") or []]
-        self.whole = re.compile("|".join([UNUSUAL, *special])).search
+        self.special = [t["content"] for t in d.get("added_tokens") or []]
+        self.unusual = re.compile(UNUSUAL).search
         self.split = re.compile(PRETOKEN).findall
         self.known = _Pieces(self.tok.model)
 
+    def whole(self, text: str) -> bool:
+        """Whether a text must be encoded whole. Most texts have no byte that could mean so, and need no search."""
+        raw = text.encode("utf-8", "surrogatepass")
+        return any(s in text for s in self.special) or (len(raw.translate(None, _SUSPECT)) < len(raw) and self.unusual(text) is not None)
+
     @staticmethod
     def of(spec: str) -> Encoder:
         """The encoder of this worker process; later tasks find it warm."""
@@ -126,7 +134,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int |
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_docs = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ids = encoded(sorted_docs, tokenizer_json, end_id).select("doc_id", F.spark_partition_id().alias("shard"), F.size("ids").cast("long").alias("n_tokens"), "ids")
-    (ids.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "10000").option("orc.stripe.size", str(64 << 20)).option("compression", "zstd").orc(path))
+    (ids.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "10000").option("orc.stripe.size", str(64 << 20)).option("compression", "lz4").orc(path))
 
 
 def placed(t: DataFrame) -> DataFrame:
