@@ -1,7 +1,7 @@
 """Structured Streaming operators over message streams, with pure state functions.
 
 Rows of one key within a micro-batch are sorted by seq before they meet the state.
-Idle sessions leave by a processing-time timeout.
+Idle sessions can leave by a processing-time timeout.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-START_FRAMES, EXPORT_EVERY, IDLE_MS = 3, 2, 3_600_000
+START_FRAMES, EXPORT_EVERY = 3, 2
+IDLE_MS: int | None = None
 
 
 def session_step(state: dict, kind: str, start: int = START_FRAMES, every: int = EXPORT_EVERY) -> tuple[dict, dict | None]:
@@ -67,7 +68,11 @@ def lock_step(locks: dict, user: int, kind: str, segment: int | None) -> tuple[d
 
 
 def _stateful(df: DataFrame, key: str, schema: str, step: Callable[[dict, pd.DataFrame], tuple[dict, list[tuple]]]) -> DataFrame:
-    """step(state, rows sorted by seq) per key and micro-batch; the state is a JSON text."""
+    """step(state, rows sorted by seq) per key and micro-batch; the state is a JSON text.
+
+    With IDLE_MS set, a key without messages for so long is forgotten. Such a stream
+    has no end of its own, so runs over what is there now leave it unset.
+    """
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -77,10 +82,11 @@ def _stateful(df: DataFrame, key: str, schema: str, step: Callable[[dict, pd.Dat
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")  # a key's rows of one micro-batch
         new, out = step(json.loads(state.get[0]) if state.exists else {}, rows)
         state.update((json.dumps(new),))
-        state.setTimeoutDuration(IDLE_MS)
+        if IDLE_MS:
+            state.setTimeoutDuration(IDLE_MS)
         yield pd.DataFrame([(*k, *o) for o in out], columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if IDLE_MS else GroupStateTimeout.NoTimeout)
 
 
 def ingest(messages: DataFrame) -> DataFrame:
