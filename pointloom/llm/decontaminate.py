@@ -130,11 +130,15 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_W
     for block in blocks(benchmark, block_words):
         items = spark.sparkContext.broadcast(block)
 
-        @F.pandas_udf("boolean")
-        def clean(texts: Iterator[pd.Series], items=items) -> Iterator[pd.Series]:
-            seeds, hashes = Seeds(items.value), WordHashes()
-            for t in texts:
-                yield pd.Series([not seeds.overlaps(hashes.of(x), min_words, share) for x in t], dtype=bool)
-
-        docs = docs.where(clean(text_of()))
+        docs = docs.where(_clean(items, min_words, share)(text_of()))
     return docs
+
+
+def _clean(items, min_words: int, share: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seeds, hashes = Seeds(items.value), WordHashes()
+        for t in texts:
+            yield pd.Series([not seeds.overlaps(hashes.of(x), min_words, share) for x in t], dtype=bool)
+
+    return clean
