@@ -9,11 +9,20 @@ Documents with equal shingle sets are one class, and only classes are compared.
 2. Of the rest the whole sets are taken. Shingles of one class only can't be in
    an overlap: they bound it, and most remaining classes fall away.
 3. Partitioning: per shingle of a class's prefix (the rarest part that a partner
-   must meet), the class with the largest share of common shingles leads. Classes
-   similar to a leader, verified on whole sets, form its group.
-4. Token-group matrix: for each group the union of its shingles is stored. The
-   overlap of a class with a group is bounded by the union and by sizes; only
-   qualifying groups are opened, and their members are verified.
+   must meet) and band of set sizes, the class with the largest share of common
+   shingles leads; the classes that meet there form its group.
+4. Token-group matrix: a group's token union is stored as its leader's shingles R
+   and, for each member, the shingles in which it differs from R. With d(k) the
+   size of that difference, two members are linked exactly if
+   (100 + p) d(q, m) <= (100 - p) (n_q + n_m), and d(q, m) <= d(q) + d(m), less
+   twice the differences they share. So with y(k) = (100 + p) d(k) - (100 - p) n_k:
+   - every member with y(k) + y(best) <= 0, best having the least y, is linked to
+     best without further proof, and this connects all linked pairs of a group
+     whose differences have nothing in common;
+   - any other link needs at least (y(q) + y(m)) / (2 (100 + p)) common
+     differences. This bounds the overlap of a class with the group; only classes
+     that pass open it, through the rarest of their differences, and what they
+     meet in other components is verified on whole sets.
 
 Groups joined by a link are one component, so pairs inside a component need not
 be enumerated; no link between components is lost. Shingles are 64-bit hashes.
@@ -171,6 +180,17 @@ def _may(na: str, nb: str, sa: str, sb: str, percent: int) -> str:
     return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * least({sa}, {sb}) >= {percent} * ({na} + {nb})"
 
 
+def _groups(prefix: DataFrame, percent: int) -> DataFrame:
+    """(k, lead): each class with the leaders it meets, itself among them if it leads."""
+    # Sets that can be linked differ in size by at most 100 / percent; bands are a little wider, and each set is in two.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent)))
+    rows = prefix.withColumn("band", F.explode(F.array(band, band + 1)))
+    lead = rows.groupBy("t", "band").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "n", "s", "k")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = rows.join(lead.select("t", "band", "m", F.col("lead.k").alias("lead"), F.col("lead.n").alias("nb"), F.col("lead.s").alias("sb")), ["t", "band"])
+    # Where two meet, only their own link counts.
+    return met.where(f"m > 2 or k = lead or ({_may('n', 'nb', 's', 'sb', percent)})").select("k", "lead").distinct()
+
+
 def links(docs: DataFrame, table: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) of classes that connect all that are connected by similarity. table: written classes()."""
     found = candidates(docs, size, percent)
@@ -182,28 +202,34 @@ def links(docs: DataFrame, table: DataFrame, size: int = SHINGLE, percent: int =
     # The prefix: the shingles that no one else has come first, and they can't meet.
     prefix = written(sets.select("k", "n", "s", F.explode(F.slice("tok", 1, (misses + 1 - (F.col("n") - F.col("s"))).cast("int"))).alias("t")), "prefix")
 
-    # Leaders, and the verified groups around them.
-    lead = prefix.groupBy("t").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "n", "s", "k")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    near = prefix.join(lead.select("t", F.col("lead.k").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.s").alias("sb")), "t").where("k <> b").where(_may("n", "nb", "s", "sb", percent))
-    pairs = near.select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct()
-    stars = written(_verified(pairs, sets, percent), "stars")
+    # Each member's difference from its leader's common shingles: what it has more, and (complemented) what it lacks.
+    u, v = 100 + percent, 100 - percent
+    own = sets.select("k", "n", F.col("tok").alias("tk"))
+    ref = sets.select(F.col("k").alias("lead"), F.col("tok").alias("tl"))
+    both = _groups(prefix, percent).join(own, "k").join(ref, "lead")
+    more, less = F.array_except("tk", "tl"), F.transform(F.array_except("tl", "tk"), lambda x: F.bitwise_not(x))
+    # d counts the shingles that only k has too.
+    d = F.col("n") - F.size("tk") + F.size("more") + F.size("less")
+    member = both.withColumns({"more": more, "less": less}).select("lead", "k", "n", (u * d - v * F.col("n")).alias("y"), F.concat("more", "less").alias("diff"))
+    member = written(member, "groups")
+    best = member.groupBy("lead").agg(F.min(F.struct("y", "k")).alias("b")).select("lead", F.col("b.y").alias("y0"), F.col("b.k").alias("k0"))
+    placed = member.join(best, "lead")
+    stars = written(placed.where("y + y0 <= 0 and k <> k0").select(F.least("k", "k0").alias("a"), F.greatest("k", "k0").alias("b")).distinct(), "stars")
     grouped = components(stars).select(F.col("id").alias("k"), F.col("component").alias("g"))
 
-    # Token-group matrix: the union of shingles of each group.
-    member = written(sets.select("k", "n", "s").join(grouped, "k", "left").withColumn("g", F.coalesce("g", "k")), "members")
-    q = prefix.select("k", "t").join(member, "k")
-    union = sets.select("k", F.explode("tok").alias("t")).join(member.select("k", "g"), "k").select("t", F.col("g").alias("og")).distinct()
-    groups = member.groupBy(F.col("g").alias("og")).agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("s").alias("s_high"))
-    hits = q.join(union, "t").where("og < g").groupBy("k", "og").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"), F.first("s").alias("s"))
-    # The prefix has misses + 1 - (n - s) shingles; those outside the union are in no member.
-    bound = F.col("s") - (misses + 1 - (F.col("n") - F.col("s")) - F.col("hits"))
-    open_ = hits.withColumn("most", F.least(bound, "s")).join(groups, "og").where(f"100 * most >= {percent} * n and {100 + percent} * least(most, s_high) >= {percent} * (n + n_low) and 100 * n_high >= {percent} * n").select(F.col("k").alias("qk"), "og")
-    # Open the qualifying groups: their members that meet the prefix.
-    inside = q.select("t", F.col("k").alias("mk"), F.col("n").alias("mn"), F.col("s").alias("ms"), F.col("g").alias("mg"))
-    asked = q.join(open_, F.col("k") == F.col("qk")).select("t", "k", "n", "s", "og")
-    met = asked.join(inside, (asked["t"] == inside["t"]) & (F.col("og") == F.col("mg"))).where(_may("n", "mn", "s", "ms", percent))
-    more = met.select(F.least("k", "mk").alias("a"), F.greatest("k", "mk").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return stars.unionByName(written(_verified(more, sets, percent), "links"))
+    # Members outside the star of a group, and what they share with its other members.
+    crowd = placed.where("y + y0 > 0").select("lead").distinct()
+    diffs = placed.join(crowd, "lead", "left_semi").select("lead", "k", "n", "y", "y0", F.explode("diff").alias("x"))
+    common = written(diffs.groupBy("lead", "x").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "common")
+    rows = diffs.join(common, ["lead", "x"]).groupBy("lead", "k").agg(F.first("n").alias("n"), F.first("y").alias("y"), F.first("y0").alias("y0"), F.sort_array(F.collect_list(F.struct("m", "x"))).alias("x"))
+    least_q, least_m = F.greatest(F.lit(1), F.ceil((F.col("y") + F.col("y0")) / (2 * u))), F.ceil((F.col("y") - F.col("y0") + 1) / (2 * u))
+    rows = rows.withColumn("sh", F.size("x")).withColumn("out", F.col("y") + F.col("y0") > 0).withColumn("need", F.when(F.col("out"), F.least(least_q, least_m)).otherwise(least_m)).where("sh >= need")
+    rows = written(rows.join(grouped, "k", "left").select("lead", "k", "n", "y", "sh", "out", F.coalesce("g", "k").alias("g"), F.transform(F.slice("x", 1, (F.col("sh") - F.col("need") + 1).cast("int")), lambda p: p["x"]).alias("x")), "open")
+    q = rows.where("out").select("lead", F.explode("x").alias("x"), "k", "n", "y", "sh", "g")
+    m = rows.select("lead", F.explode("x").alias("x"), F.col("k").alias("mk"), F.col("n").alias("mn"), F.col("y").alias("my"), F.col("sh").alias("msh"), F.col("g").alias("mg"))
+    met = q.join(m, ["lead", "x"]).where(f"g <> mg and y + my <= {2 * u} * least(sh, msh) and 100 * least(n, mn) >= {percent} * greatest(n, mn)")
+    pairs = met.select(F.least("k", "mk").alias("a"), F.greatest("k", "mk").alias("b")).distinct()
+    return stars.unionByName(written(_verified(pairs, sets, percent), "links"))
 
 
 def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
