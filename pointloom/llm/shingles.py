@@ -63,7 +63,7 @@ def shingled(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 def best_segment(equal: np.ndarray, share: float) -> tuple[int, int]:
     """[i, j) with the largest count of trues less its mismatches' price; true for at least share of it."""
-    price = share / (1 - share)
+    price = share / (1 - share) * (1 - 1e-7)  # of segments with just that share, the longest
     s = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -price))])
     low = np.minimum.accumulate(s)
     j = int(np.argmax(s - low))
