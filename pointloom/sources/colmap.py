@@ -82,7 +82,7 @@ def _write(df: DataFrame, path: str, encode) -> None:
             for b in batches:
                 f.write(encode(b))
                 n += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([c.partitionId()]), pa.array([n], pa.int64()), pa.array([part])], ["number", "n", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array([c.partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([part])], ["number", "n", "part"])
 
     parts = sorted(df.mapInArrow(run, "number int, n long, part string").collect())  # a row per task
     with fs.open_output_stream(f"{p}.{run_id}.tmp") as out:
