@@ -98,10 +98,7 @@ def statistics(df: DataFrame, exclude_deleted: bool = False) -> DataFrame:
     """Quality statistics of a scene: two passes, the moments of the first broadcast to the second."""
     df = df.where(_active(df, exclude_deleted))
     p = df.withColumn("_p", sigmoid(F.col("opacity")))
-    n3 = F.count(F.lit(1)) * 3
-    total, square = sum(F.sum(s) for s in SCALES), sum(F.sum(F.col(s) * F.col(s)) for s in SCALES)
     moments = [f(a).alias(f"{k}_{a}") for a in AXES for k, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]
-    del square, total, n3
     one = p.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("_p") > 0.1).alias("n_effective"),

@@ -174,8 +174,8 @@ _W1 = [math.exp(-((i - 5) ** 2) / 4.5) for i in range(11)]
 with s as (select view, u, v, c, a, b from (select view, u, v, unnest(['r','g','b']) c, unnest([r,g,b]) a, unnest([gt_r,gt_g,gt_b]) b from d1 where u < 16 and v < 16)),
 k as (select i-5 o, exp(-((i-5)**2)/4.5)/{sum(_W1)!r} w from range(11) t(i)), w as (select x.o du, y.o dv, x.w*y.w w from k x, k y),
 m as (select p.view, p.u, p.v, p.c, {_S.format("q.a")} ma, {_S.format("q.b")} mb, {_S.format("q.a*q.a")} aa, {_S.format("q.b*q.b")} bb, {_S.format("q.a*q.b")} ab
-from s p, w join s q on q.view = p.view and q.c = p.c and q.u = p.u + du and q.v = p.v + dv group by 1,2,3,4)
-select view, round(avg((2*ma*mb+1e-4)*(2*(ab-ma*mb)+9e-4)/((ma*ma+mb*mb+1e-4)*(aa-ma*ma+bb-mb*mb+9e-4))),6) ssim from m group by view""".replace("from s p, w join s q", "from s p cross join w join s q"))
+from s p cross join w join s q on q.view = p.view and q.c = p.c and q.u = p.u + du and q.v = p.v + dv group by 1,2,3,4)
+select view, round(avg((2*ma*mb+1e-4)*(2*(ab-ma*mb)+9e-4)/((ma*ma+mb*mb+1e-4)*(aa-ma*ma+bb-mb*mb+9e-4))),6) ssim from m group by view""")
 def a11(d1):
     return rounded(pixels.ssim(d1.where("u < 16 and v < 16")), "ssim")
 

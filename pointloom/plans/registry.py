@@ -76,15 +76,11 @@ def query(name: str, uses: tuple[str, ...] = (), sql: str | None = None):
         QUERIES[name] = run
         if sql is not None:
             ctes = ", ".join(f"{n} as ({duck(FIXTURES[n])})" for n in _needs(uses) if n in FIXTURES)
-            body, sep = duck(sql.strip()), ""
-            if body.lower().startswith("with recursive "):
-                ctes, body = ctes, body[15:]
-                SQL[name] = f"with recursive {ctes}{', ' if ctes else ''}{body}"
-            elif body.lower().startswith("with "):
+            body = duck(sql.strip())
+            if body.lower().startswith("with "):
                 SQL[name] = f"with {ctes}{', ' if ctes else ''}{body[5:]}"
             else:
                 SQL[name] = f"with {ctes} {body}" if ctes else body
-            del sep
         return f
 
     return put

@@ -60,7 +60,7 @@ def l01(g2):
     return scene.top_opacity(g2, 1000).select("gid")
 
 
-@query("s05_to_splat_schema", ("g1",), "select gid, round((0.25-0.5)/0.28209479177387814,6) f_dc_0, round((abs(x)-0.5)/0.28209479177387814,6) f_dc_1, round(ln(0.8/(1-0.8+1e-8)),6) opacity, round(ln(abs(scale_0)+1e-8),6) scale_0, round(ln(0.01+1e-8),6) scale_1, rot_0 from (select *, 1.0::double rot_0 from g1_) ".replace("from g1_", "from (select gid, x, scale_0 from g1)"))
+@query("s05_to_splat_schema", ("g1",), "select gid, round((0.25-0.5)/0.28209479177387814,6) f_dc_0, round((abs(x)-0.5)/0.28209479177387814,6) f_dc_1, round(ln(0.8/(1-0.8+1e-8)),6) opacity, round(ln(abs(scale_0)+1e-8),6) scale_0, round(ln(0.01+1e-8),6) scale_1, 1.0::double rot_0 from g1")
 def s05(g1):
     out = scene.to_splat_schema(g1.select("gid", "x", "y", "z", F.lit(0.25).alias("r"), F.abs("x").alias("g"), F.col("scale_0").alias("size_0")))
     return rounded(out.select("gid", "f_dc_0", "f_dc_1", "opacity", "scale_0", "scale_1", "rot_0"), "f_dc_0", "f_dc_1", "opacity", "scale_0", "scale_1")
