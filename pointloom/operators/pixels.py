@@ -152,6 +152,12 @@ def image_losses(px: DataFrame) -> DataFrame:
     return l1.crossJoin(tv)
 
 
+def surface_metrics(px: DataFrame) -> DataFrame:
+    """Mean of 1 - n·s of rendered (nx, ny, nz) and surface (sx, sy, sz) normals, and mean distortion."""
+    dot = F.col("nx") * F.col("sx") + F.col("ny") * F.col("sy") + F.col("nz") * F.col("sz")
+    return px.agg(F.avg(1.0 - dot).alias("normal_inconsistency"), F.avg("distortion").alias("distortion"))
+
+
 def view_ranking(px: DataFrame, confidence: str = "alpha") -> DataFrame:
     """(view, confidence, rank): by mean confidence, the highest first; natural order for up to two views."""
     m = px.groupBy("view").agg(F.round(F.avg(confidence), 9).alias("confidence"))
