@@ -23,6 +23,9 @@ Documents with equal shingle sets are one class, and only classes are compared.
      differences. This bounds the overlap of a class with the group; only classes
      that pass open it, through the rarest of their differences, and what they
      meet in other components is verified on whole sets.
+   This holds for members near their leader. By the triangle inequality of Jaccard
+   distance a linked pair is either near it together, or both are some way off;
+   those meet directly, by their prefixes.
 
 Groups joined by a link are one component, so pairs inside a component need not
 be enumerated; no link between components is lost. Shingles are 64-bit hashes.
@@ -180,15 +183,17 @@ def _may(na: str, nb: str, sa: str, sb: str, percent: int) -> str:
     return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * least({sa}, {sb}) >= {percent} * ({na} + {nb})"
 
 
-def _groups(prefix: DataFrame, percent: int) -> DataFrame:
-    """(k, lead): each class with the leaders it meets, itself among them if it leads."""
-    # Sets that can be linked differ in size by at most 100 / percent; bands are a little wider, and each set is in two.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent)))
-    rows = prefix.withColumn("band", F.explode(F.array(band, band + 1)))
+def _buckets(prefix: DataFrame, percent: int) -> DataFrame:
+    """(t, band, own, k, n, s, lead): the rows of each shingle and size band where several meet, with their leader.
+
+    Sets that can be linked differ in size by at most 100 / percent; bands are a
+    little wider, and each set is in its own and the next.
+    """
+    rows = prefix.withColumn("own", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101.0 / percent)))).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     lead = rows.groupBy("t", "band").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "n", "s", "k")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
     met = rows.join(lead.select("t", "band", "m", F.col("lead.k").alias("lead"), F.col("lead.n").alias("nb"), F.col("lead.s").alias("sb")), ["t", "band"])
     # Where two meet, only their own link counts.
-    return met.where(f"m > 2 or k = lead or ({_may('n', 'nb', 's', 'sb', percent)})").select("k", "lead").distinct()
+    return met.where(f"m > 2 or k = lead or ({_may('n', 'nb', 's', 'sb', percent)})").select("t", "band", "own", "k", "n", "s", "lead")
 
 
 def links(docs: DataFrame, table: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -206,12 +211,18 @@ def links(docs: DataFrame, table: DataFrame, size: int = SHINGLE, percent: int =
     u, v = 100 + percent, 100 - percent
     own = sets.select("k", "n", F.col("tok").alias("tk"))
     ref = sets.select(F.col("k").alias("lead"), F.col("tok").alias("tl"))
-    both = _groups(prefix, percent).join(own, "k").join(ref, "lead")
+    buckets = written(_buckets(prefix, percent), "buckets")
+    both = buckets.select("k", "lead").distinct().join(own, "k").join(ref, "lead")
     more, less = F.array_except("tk", "tl"), F.transform(F.array_except("tl", "tk"), lambda x: F.bitwise_not(x))
     # d counts the shingles that only k has too.
     d = F.col("n") - F.size("tk") + F.size("more") + F.size("less")
-    member = both.withColumns({"more": more, "less": less}).select("lead", "k", "n", (u * d - v * F.col("n")).alias("y"), F.concat("more", "less").alias("diff"))
-    member = written(member, "groups")
+    near = F.size("tk") - F.size("more")
+    union = F.col("n") + F.size("tl") - near
+    # Jaccard distance is a metric: of a linked pair either both are within .5 of the leader, or neither is within .3.
+    inner, outer = 1 - (v / 100 + 0.1), 1 - (2 * v / 100 + 0.1)
+    both = both.withColumns({"more": more, "less": less}).select("lead", "k", "n", (u * d - v * F.col("n")).alias("y"), F.concat("more", "less").alias("diff"), (near / union).alias("j"))
+    both = written(both.withColumn("diff", F.when(F.col("j") >= outer, F.col("diff"))), "groups")
+    member, far = both.where(F.col("j") >= outer), both.where(F.col("j") < inner).select("lead", "k")
     best = member.groupBy("lead").agg(F.min(F.struct("y", "k")).alias("b")).select("lead", F.col("b.y").alias("y0"), F.col("b.k").alias("k0"))
     placed = member.join(best, "lead")
     stars = written(placed.where("y + y0 <= 0 and k <> k0").select(F.least("k", "k0").alias("a"), F.greatest("k", "k0").alias("b")).distinct(), "stars")
@@ -228,7 +239,12 @@ def links(docs: DataFrame, table: DataFrame, size: int = SHINGLE, percent: int =
     q = rows.where("out").select("lead", F.explode("x").alias("x"), "k", "n", "y", "sh", "g")
     m = rows.select("lead", F.explode("x").alias("x"), F.col("k").alias("mk"), F.col("n").alias("mn"), F.col("y").alias("my"), F.col("sh").alias("msh"), F.col("g").alias("mg"))
     met = q.join(m, ["lead", "x"]).where(f"g <> mg and y + my <= {2 * u} * least(sh, msh) and 100 * least(n, mn) >= {percent} * greatest(n, mn)")
-    pairs = met.select(F.least("k", "mk").alias("a"), F.greatest("k", "mk").alias("b")).distinct()
+    pairs = met.select(F.least("k", "mk").alias("a"), F.greatest("k", "mk").alias("b"))
+    # What is far from its leader meets there directly, in other components only, once in its larger band.
+    away = written(buckets.join(far, ["lead", "k"], "left_semi").join(grouped, "k", "left").withColumn("g", F.coalesce("g", "k")), "far")
+    other = away.select("t", "band", F.col("own").alias("mown"), F.col("k").alias("mk"), F.col("n").alias("mn"), F.col("s").alias("ms"), F.col("g").alias("mg"))
+    direct = away.join(other, ["t", "band"]).where("k < mk and g <> mg and band = greatest(own, mown)").where(_may("n", "mn", "s", "ms", percent)).select(F.col("k").alias("a"), F.col("mk").alias("b"))
+    pairs = pairs.unionByName(direct).distinct()
     return stars.unionByName(written(_verified(pairs, sets, percent), "links"))
 
 
