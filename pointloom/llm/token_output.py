@@ -37,7 +37,7 @@ PRETOKEN = rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S
 UNUSUAL = r"[\x00-\x08\x0e-\x1f\x7f-\xa0\xadɐ-\U0010ffff]"
 #: Bytes of UTF-8 that such characters have; C2 starts some usual ones too.
 _SUSPECT = bytes([*range(0x09), *range(0x0E, 0x20), 0x7F, 0xC2, *range(0xC9, 0x100)])
-CACHE, BATCH_CHARS = 500_000, 1_000_000
+CACHE, BATCH_CHARS = 700_000, 1_000_000
 
 
 class _Pieces(dict):
