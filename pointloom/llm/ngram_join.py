@@ -224,7 +224,8 @@ def links(docs: DataFrame, table: DataFrame, size: int = SHINGLE, percent: int =
     both = written(both.withColumn("diff", F.when(F.col("j") >= outer, F.col("diff"))), "groups")
     member, far = both.where(F.col("j") >= outer), both.where(F.col("j") < inner).select("lead", "k")
     best = member.groupBy("lead").agg(F.min(F.struct("y", "k")).alias("b")).select("lead", F.col("b.y").alias("y0"), F.col("b.k").alias("k0"))
-    placed = member.join(best, "lead")
+    # Written, so that both sides of the join are plain shuffles and AQE can split a large group.
+    placed = member.join(written(best, "best"), "lead")
     stars = written(placed.where("y + y0 <= 0 and k <> k0").select(F.least("k", "k0").alias("a"), F.greatest("k", "k0").alias("b")).distinct(), "stars")
     grouped = components(stars).select(F.col("id").alias("k"), F.col("component").alias("g"))
 
