@@ -3,16 +3,19 @@
 Masks of fixed shape pick some of the words in a window and ignore the others, so
 that a substituted word at an ignored place does no harm. Hashes of the masked
 words of the benchmark are joined with those of the training text in the tasks
-that read it, and around each hit the two texts are compared word by word: an
-overlap counts if at least `share` of its words are equal and it has at least
-min_words words (or the whole item, if shorter).
+that read it, and along each hit's diagonal the two texts are compared word by
+word: an overlap counts if at least `share` of its words are equal and it has at
+least min_words words (or the whole item, if shorter). The longest such segment is
+taken. The masks hit every overlap of 13 words or more that is 80 % equal; for
+shorter items, and for weaker rules, runs of words are sought that any overlap
+must have.
 
 The benchmark is taken in blocks of at most about block_words words, so what goes
 to the tasks is bounded; every block meets all documents. Items with equal words
 are one item, with the smallest item_id.
 
-Results in special cases: null or empty texts and items match nothing; items with
-fewer words than a mask spans are sought as they are; a null doc_id or item_id is
+Results in special cases: null or empty texts and items match nothing; an item with
+fewer than min_words words is sought whole; a null doc_id or item_id is
 an id like others; repeated documents yield their rows each; empty tables give no
 rows; further columns stay in `decontaminated` and are ignored in `overlaps`.
 """
@@ -29,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .shingles import WordHashes, best_segment, masked
+from .shingles import WordHashes, longest_segment, masked
 
 #: 1 is compared, 0 is ignored. The first two survive a substitution at every fifth or third word.
-MASKS = ("1111011", "11011011", "110101011", "1110010111")
+#: Together they hit all placements of substitutions in 13 words or more that leave 80 % (a test enumerates them).
+MASKS = ("1111011", "11011011", "110101011", "1110010111", "1111100001")
 MIN_WORDS, SHARE, BLOCK_WORDS = 13, 0.8, 2_000_000
 SCHEMA = "doc_id long, item_id long, n_words long, n_equal long, doc_start long, item_start long"
 
@@ -41,10 +45,16 @@ def _ones(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
+def _run(lengths, share: float) -> int:
+    """The equal words in a row that any segment of these lengths has if share of it is equal."""
+    least = [(n, int(np.ceil(share * n - 1e-9))) for n in lengths]
+    return max(1, min(-(-e // (n - e + 1)) for n, e in least))
+
+
 class Seeds:
     """The masked hashes of a block of the benchmark."""
 
-    def __init__(self, items: list[tuple[int | None, str]], masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: list[tuple[int | None, str]], masks: tuple[str, ...] = MASKS, min_words: int = MIN_WORDS, share: float = SHARE):
         hashes, by_words = WordHashes(), {}
         for item_id, text in items:
             w = hashes.of(text)
@@ -53,15 +63,14 @@ class Seeds:
                 if key not in by_words or (item_id is not None and (by_words[key][0] is None or item_id < by_words[key][0])):
                     by_words[key] = (item_id, w)
         self.items = list(by_words.values())
-        shortest = min(map(len, masks))
-        used = list(masks) + ["1" * k for k in sorted({len(w) for _, w in self.items if len(w) < shortest})]
-        self.masks = [(_ones(m), n + 1) for n, m in enumerate(used)]
+        if min_words < MIN_WORDS or share < SHARE:
+            masks = ("1" * _run(range(min_words, 2 * min_words), share),)
+        of = {n: masks if n >= min_words else ("1" * _run([n], share),) for n in {len(w) for _, w in self.items}}
+        self.masks = {m: (_ones(m), n + 1) for n, m in enumerate(sorted({m for ms in of.values() for m in ms}))}
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, w) in enumerate(self.items):
-            for ones, salt in self.masks:
-                if salt > len(masks) and len(ones) != len(w):
-                    continue  # a mask for items of another length
-                for p, h in enumerate(masked(w, ones, salt).tolist()):
+            for m in of[len(w)]:
+                for p, h in enumerate(masked(w, *self.masks[m]).tolist()):
                     found[h].append((i, p))
         self.places = dict(found)
         keys = np.fromiter(self.places, np.uint64, len(self.places))
@@ -71,7 +80,7 @@ class Seeds:
     def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
         """(item, diagonal): where the item would begin in the document."""
         out = set()
-        for ones, salt in self.masks:
+        for ones, salt in self.masks.values():
             h = masked(words, ones, salt)
             for q in np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)]):
                 for i, p in self.places.get(int(h[q]), ()):
@@ -79,15 +88,15 @@ class Seeds:
         return out
 
     def overlaps(self, words: np.ndarray, min_words: int, share: float) -> dict[int, tuple[int, int, int, int]]:
-        """item → (words, equal, start in the document, start in the item) of its best verified overlap."""
+        """item → (words, equal, start in the document, start in the item) of its best verified overlap (most equal words, then the first)."""
         best: dict[int, tuple[int, int, int, int]] = {}
         for i, d in self.hits(words):
             item = self.items[i][1]
             lo, hi = max(0, -d), min(len(item), len(words) - d)
             equal = item[lo:hi] == words[lo + d : hi + d]
-            a, b = best_segment(equal, share)
+            a, b = longest_segment(equal, share)
             n = int(equal[a:b].sum())
-            if b - a >= min(min_words, len(item)) and n >= share * (b - a) - 1e-9:
+            if b > a and b - a >= min(min_words, len(item)):
                 got = (b - a, n, lo + a + d, lo + a)
                 if i not in best or (got[1], -got[2]) > (best[i][1], -best[i][2]):
                     best[i] = got
@@ -112,7 +121,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
         items = spark.sparkContext.broadcast(block)  # at most about block_words words
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            s, hashes = Seeds(items.value, masks), WordHashes()
+            s, hashes = Seeds(items.value, masks, min_words, share), WordHashes()
             for b in batches:
                 rows = []
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -137,7 +146,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_W
 def _clean(items, min_words: int, share: float):
     @F.pandas_udf("boolean")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seeds, hashes = Seeds(items.value), WordHashes()
+        seeds, hashes = Seeds(items.value, min_words=min_words, share=share), WordHashes()
         for t in texts:
             yield pd.Series([not seeds.overlaps(hashes.of(x), min_words, share) for x in t], dtype=bool)
 

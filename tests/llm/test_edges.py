@@ -130,6 +130,50 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.decontaminated(odd, bench).count() == odd.count()
 
 
+def overlapping(item, doc, min_words=13, share=0.8):
+    """Over all pairs of segments: the most words of one that meets the rule."""
+    best = 0
+    for d in range(-len(item) + 1, len(doc)):
+        same = [0 <= p + d < len(doc) and doc[p + d] == w for p, w in enumerate(item)]
+        inside = [p for p in range(len(item)) if 0 <= p + d < len(doc)]
+        for i in inside:
+            for j in range(i + min(min_words, len(item)), inside[-1] + 2):
+                if sum(same[i:j]) >= share * (j - i) - 1e-9:
+                    best = max(best, j - i)
+    return best
+
+
+def test_decontaminate_against_brute_force(spark):
+    """Random substitutions up to and beyond what the rule allows, near the ends too."""
+    r = random.Random(11)
+    items = [[f"i{n}w{p}" for p in range(k)] for n, k in enumerate([5, 8, 10, 12, 13, 14, 15, 15, 16, 18, 20, 25, 30] * 2)]
+    docs, want = [], set()
+    for n, item in enumerate(items):
+        for x in range(0, len(item) // 5 + 2):
+            for _ in range(4):
+                bad = r.sample(range(len(item)), x)
+                doc = ["q"] * 3 + ["zz" if p in bad else w for p, w in enumerate(item)] + ["r"] * 3
+                if overlapping(item, doc):
+                    want.add((len(docs), n, overlapping(item, doc)))
+                docs.append((len(docs), " ".join(doc)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"], x["n_words"]) for x in decontaminate.overlaps(df, bench).collect()} == want
+    clean = {x["doc_id"] for x in decontaminate.decontaminated(df, bench).collect()}
+    assert clean == {d for d, _ in docs} - {w[0] for w in want}
+
+
+def test_masks_hit_every_overlap():
+    """An overlap of 26 words or more holds a shorter one of 13 words or more."""
+    from itertools import combinations
+
+    masks = [(sum(1 << i for i, c in enumerate(m) if c == "1"), len(m)) for m in decontaminate.MASKS]
+    for n in range(13, 26):
+        for bad in combinations(range(n), n // 5):
+            b = sum(1 << p for p in bad)
+            assert any(not b & (m << o) for m, k in masks for o in range(n - k + 1)), (n, bad)
+
+
 def test_decontaminate_finds_whole_items(spark, sf, docs, texts):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, bench).collect()}
