@@ -61,10 +61,13 @@ def shingled(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return masked(words, tuple(range(min(size, len(words)))), min(size, len(words)))
 
 
-def best_segment(equal: np.ndarray, share: float) -> tuple[int, int]:
-    """[i, j) with the largest count of trues less its mismatches' price; true for at least share of it."""
+def best_segment(equal: np.ndarray, share: float, at: int | None = None) -> tuple[int, int]:
+    """[i, j) with the largest count of trues less its mismatches' price; true for at least share of it. With at, of those that hold it."""
     price = share / (1 - share) * (1 - 1e-7)  # of segments with just that share, the longest
     s = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -price))])
+    if at is not None:
+        i, j = int(np.argmin(s[: at + 1])), at + 1 + int(np.argmax(s[at + 1 :]))
+        return (i, j) if s[j] >= s[i] else (at, at)
     low = np.minimum.accumulate(s)
     j = int(np.argmax(s - low))
     i = int(np.argmin(s[: j + 1]))

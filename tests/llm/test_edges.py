@@ -350,3 +350,20 @@ def test_repeated_passages_are_found(spark, docs, texts):
                 pairs.add((first, d))
     assert pairs
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def changed(words, places, mark):
+    return [f"{mark}{p}" if p in places else w for p, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chains_of_edited_passages_hold_together(spark, seed):
+    """In each family all copies are like their neighbours, and the first is unlike the last."""
+    r, rows = random.Random(seed), []
+    for f in range(40):
+        base = [f"b{f}w{i}" for i in range(60)]
+        second, third = changed(base, {12}, "x"), changed(base, {12, 47}, "x")
+        some = lambda n: [f"n{r.randrange(10**6)}" for _ in range(n)]
+        rows += [(4 * f + n, " ".join(some(30) + x + some(30))) for n, x in enumerate((changed(base, {30}, "y"), base, second, third))]
+    got = {x["doc_id"]: x["class_id"] for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), functions=8, apart=0).collect()}
+    assert got == {d: d // 4 * 4 for d, _ in rows}
