@@ -367,3 +367,38 @@ def test_chains_of_edited_passages_hold_together(spark, seed):
         rows += [(4 * f + n, " ".join(some(30) + x + some(30))) for n, x in enumerate((changed(base, {30}, "y"), base, second, third))]
     got = {x["doc_id"]: x["class_id"] for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), functions=8, apart=0).collect()}
     assert got == {d: d // 4 * 4 for d, _ in rows}
+
+
+def test_joined_windows_against_definition():
+    import numpy as np
+
+    seq, width = np.random.default_rng(3).integers(0, 1 << 62, 300, dtype=np.uint64), 20
+    windows = substring_dedup.compact_windows(seq, width, 4)
+    want = set()
+    for a in windows:
+        for b in windows:
+            lo, hi = max(a[2], b[2]), min(a[4], b[4])
+            if a[0] < b[0] and hi - lo + 1 >= width and lo <= a[3] <= hi and lo <= b[3] <= hi:
+                want.add((a[3], b[3]))
+    assert {x[1:] for x in substring_dedup.joined_windows(windows, width, 0)} == want
+
+
+@pytest.mark.parametrize("edits,n,most", [([], 50, 0), ([25], 50, 2), ([10, 80], 100, 2)])
+def test_search_misses_next_to_nothing(edits, n, most):
+    """Pairs of documents with one passage of at least the least similarity: those without a common key, of 1000."""
+    import numpy as np
+
+    from pointloom.llm.shingles import shingled
+
+    r, missed, width = np.random.default_rng(7), 0, substring_dedup.MIN_WORDS - 4
+    for _ in range(1000):
+        passage = r.integers(0, 1 << 62, n, dtype=np.uint64)
+        other = passage.copy()
+        other[edits] += np.uint64(1)
+        keys = []
+        for p in (passage, other):
+            seq = shingled(np.concatenate([r.integers(0, 1 << 62, 60, dtype=np.uint64), p, r.integers(0, 1 << 62, 60, dtype=np.uint64)]))
+            keys.append({x[0] for x in substring_dedup.joined_windows(substring_dedup.compact_windows(seq, width), width, substring_dedup.APART)})
+        missed += not keys[0] & keys[1]
+    print(f"{n} words, {len(edits)} changed: {missed} of 1000 missed")
+    assert missed <= most
