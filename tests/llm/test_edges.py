@@ -402,3 +402,21 @@ def test_search_misses_next_to_nothing(edits, n, most):
         missed += not keys[0] & keys[1]
     print(f"{n} words, {len(edits)} changed: {missed} of 1000 missed")
     assert missed <= most
+
+
+def test_passages_that_stand_twice(spark):
+    """Every place of a repeated passage has its span, also behind a line that has some of its shingles."""
+    r = random.Random(9)
+    some = lambda n: [f"n{r.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for f in range(20):
+        p = [f"p{f}w{i}" for i in range(60)]
+        rows += [(2 * f, " ".join(some(40) + p + some(40))), (2 * f + 1, " ".join(some(30) + p[:30] + some(25) + p + some(80) + p + some(30)))]
+        want[2 * f + 1] = (85, 145), (225, 285)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in substring_dedup.substring_dedup(df).collect()}
+    cut = {x["doc_id"]: x["text"].split() for x in substring_dedup.without_passages(df).collect()}
+    for d, spans in want.items():
+        held = {i for s in got[d]["spans"] for i in range(s["start"], s["start"] + s["n"])}
+        assert all(held.issuperset(range(*s)) for s in spans)
+        assert not any(w == f"p{d // 2}w45" for w in cut[d])
