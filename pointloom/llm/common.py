@@ -51,6 +51,19 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     return F.broadcast(df) if n <= limit else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df has no column of, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else changed.
 

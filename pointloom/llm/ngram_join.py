@@ -7,33 +7,31 @@ Documents with equal shingle sets are one class, and only classes are compared.
    don't are done. Shingles met twice in a batch are collapsed where they are read,
    so a frequent one crosses the network once a batch.
 2. Of the rest the whole sets are taken. Shingles of one class only can't be in
-   an overlap: they bound it, and most remaining classes fall away.
-3. Partitioning: per shingle of a class's prefix (the rarest part that a partner
-   must meet) and band of set sizes, the class with the largest share of common
-   shingles leads; the classes that meet there form its group.
-4. Token-group matrix: a group's token union is stored as its leader's shingles R
-   and, for each member, the shingles in which it differs from R. With d(k) the
-   size of that difference, two members are linked exactly if
-   (100 + p) d(q, m) <= (100 - p) (n_q + n_m), and d(q, m) <= d(q) + d(m), less
-   twice the differences they share. So with y(k) = (100 + p) d(k) - (100 - p) n_k:
-   - every member with y(k) + y(best) <= 0, best having the least y, is linked to
-     best without further proof, and this connects all linked pairs of a group
-     whose differences have nothing in common;
-   - any other link needs at least (y(q) + y(m)) / (2 (100 + p)) common
-     differences. This bounds the overlap of a class with the group; only classes
-     that pass open it, through the rarest of their differences, and what they
-     meet in other components is verified on whole sets.
-   This holds for members near their leader. By the triangle inequality of Jaccard
-   distance a linked pair is either near it together, or both are some way off;
-   those meet directly, by their prefixes.
-
-Groups joined by a link are one component, so pairs inside a component need not
-be enumerated; no link between components is lost. Shingles are 64-bit hashes.
+   an overlap: they bound it, and most remaining classes fall away. The others are
+   put in the order of their frequency, and the first of them, the prefix, must hold
+   one shingle of any partner.
+3. Stars: where classes meet at a shingle of their prefixes, in a band of set sizes,
+   one leads and the others are compared with it. That joins most of a large group of
+   copies, with one comparison each.
+4. Groups: the classes that still meet one of another component are partitioned
+   into groups of bounded size, by component, else by the shingle where most meet.
+   The union of a group's prefix tokens is stored, and two groups whose unions share
+   none, or whose sizes can't match, are never opened.
+5. Token-group matrix: of two groups that qualify, the overlap of each class with the
+   other group's whole token union bounds its overlap with every member. Classes that
+   pass open the group: their overlaps with all its members are one matrix product.
+   Of the links found, those that join components are kept.
+
+Nothing is emitted per pair of classes but what is compared with a leader. Pairs
+inside one component need not be enumerated; no link between components is lost.
+Shingles are 64-bit hashes.
 
 Results in special cases: null or empty texts have no shingles and are linked
 with nothing; a text of fewer than 5 words has its whole word sequence as one
-shingle; repeated rows yield a row each and are linked; a null doc_id is linked
-like others and takes the component of its class (null if it has no other id); an
+shingle; a very long text is one set like others (a group's size is bounded by its
+tokens, so it may be a group alone); repeated rows yield a row each and are linked;
+a null doc_id is linked like others, connects what it is similar to, and takes the
+smallest id of its component (null if there is none); equal smallest ids are one; an
 empty table gives no rows; further columns are ignored, or kept by
 near_deduplicated.
 """
@@ -48,16 +46,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_side, text_of, written
+from .common import fresh, small_side, text_of, written
 from .components import components
-from .shingles import SHINGLE, WordHashes, mixed, shingled
+from .shingles import SHINGLE, distinct, mixed, sequences
 
 PERCENT = 80
+#: A group has about so many classes at most, and about so many tokens unless it is one class.
+GROUP_ROWS, GROUP_TOKENS = 128, 60_000
 
 
-def _set_of(words: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+def _set_of(shingles: np.ndarray) -> tuple[np.ndarray, int]:
     """The distinct shingles, ascending, and the class key of the set."""
-    s = np.unique(shingled(words, size))
+    s = distinct(shingles)
     if not len(s):
         return s, 0
     key = mixed(np.array([np.add.reduce(mixed(s ^ np.uint64(0x5BD1E995))) ^ np.uint64(len(s))], np.uint64))
@@ -68,9 +68,8 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n, k): the number of distinct shingles and the class of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            got = [_set_of(hashes.of(t.as_py()), size) for t in b.column(1)]
+            got = [_set_of(s) for _, s in sequences(b.column(1), size)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int64())], ["doc_id", "n", "k"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n long, k long")
@@ -140,11 +139,9 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(k) of the classes that may have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             parts = []
-            for t in b.column(0):
-                s, k = _set_of(hashes.of(t.as_py()), size)
+            for s, k in (_set_of(s) for _, s in sequences(b.column(0), size)):
                 if len(s):
                     parts.append((k, s[: _screen_size(len(s), percent)[0]], len(s)))
             need = {k: _screen_size(n, percent)[1] for k, _, n in parts}
@@ -157,16 +154,15 @@ def candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(k, known...) rows of _collapsed for the whole sets of the documents in reps (doc_id)."""
+    """(k, known...) rows of _collapsed for the whole sets of the documents in reps (rep: a doc_id, or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            got = [_set_of(hashes.of(t.as_py()), size) for t in b.column(0)]
+            got = [_set_of(s) for _, s in sequences(b.column(0), size)]
             yield from _collapsed([(k, s) for s, k in got if len(s)])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return own.join(reps, "doc_id", "left_semi").select("text").mapInArrow(run, "t long, k long, known array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
+    return own.join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(run, "t long, k long, known array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -199,71 +195,140 @@ def _buckets(prefix: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, table: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) of classes that connect all that are connected by similarity. table: written classes()."""
     found = candidates(docs, size, percent)
-    reps = written(table.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).join(found, "k", "left_semi"), "reps")
-    shared = _shared(whole_sets(docs, small_side(reps.select("doc_id")), size))
-    sets = shared.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("known"))).alias("tok")).join(reps.select("k", "n"), "k")
-    sets = written(sets.withColumn("tok", F.sort_array("tok")).withColumn("s", F.size("tok").cast("long")).where(f"100 * s >= {percent} * n"), "sets")
+    reps = table.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    reps = written(reps.join(found, "k", "left_semi"), "reps")
+    shared = _shared(whole_sets(docs, small_side(reps.select("rep").distinct()), size))
+    common = shared.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("known"))).alias("tok"))
+    common = common.join(reps.select("k", "n"), "k").where(100 * F.size("tok") >= percent * F.col("n"))
+    sets = by_frequency(written(common, "common"), percent)
+    prefix = written(prefixes(sets, percent), "prefix")
+
+    buckets = _buckets(prefix, percent)
+    stars = written(_verified(buckets.where("k <> lead").select(F.col("k").alias("a"), F.col("lead").alias("b")).distinct(), sets, percent), "stars")
+    joined = components(stars).select(F.col("id").alias("k"), F.col("component").alias("g"))
+    return stars.unionByName(written(group_links(sets, prefix, joined, percent), "links"))
+
+
+def by_frequency(common: DataFrame, percent: int) -> DataFrame:
+    """(k, n, s, tok): the shingles that several of these classes have, rarest first; classes with too few are left out."""
+    tokens = common.select("k", "n", F.explode("tok").alias("t"))
+    # Written, so that both sides of the join are plain shuffles and AQE can split a frequent shingle.
+    df = written(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
+    ranked = tokens.join(df, "t").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
+    sets = ranked.select("k", "n", F.size("r").cast("long").alias("s"), F.transform("r", lambda x: x["t"]).alias("tok"))
+    return written(sets.where(f"100 * s >= {percent} * n"), "sets")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(k, n, s, t): the rarest shingles of each class, of which any two linked classes have one in common."""
     misses = F.expr(f"n - cast(ceil({percent} * n / 100) as long)")
-    # The prefix: the shingles that no one else has come first, and they can't meet.
-    prefix = written(sets.select("k", "n", "s", F.explode(F.slice("tok", 1, (misses + 1 - (F.col("n") - F.col("s"))).cast("int"))).alias("t")), "prefix")
-
-    # Each member's difference from its leader's common shingles: what it has more, and (complemented) what it lacks.
-    u, v = 100 + percent, 100 - percent
-    own = sets.select("k", "n", F.col("tok").alias("tk"))
-    ref = sets.select(F.col("k").alias("lead"), F.col("tok").alias("tl"))
-    buckets = written(_buckets(prefix, percent), "buckets")
-    both = buckets.select("k", "lead").distinct().join(own, "k").join(ref, "lead")
-    more, less = F.array_except("tk", "tl"), F.transform(F.array_except("tl", "tk"), lambda x: F.bitwise_not(x))
-    # d counts the shingles that only k has too.
-    d = F.col("n") - F.size("tk") + F.size("more") + F.size("less")
-    near = F.size("tk") - F.size("more")
-    union = F.col("n") + F.size("tl") - near
-    # Jaccard distance is a metric: of a linked pair either both are within .5 of the leader, or neither is within .3.
-    inner, outer = 1 - (v / 100 + 0.1), 1 - (2 * v / 100 + 0.1)
-    both = both.withColumns({"more": more, "less": less}).select("lead", "k", "n", (u * d - v * F.col("n")).alias("y"), F.concat("more", "less").alias("diff"), (near / union).alias("j"))
-    both = written(both.withColumn("diff", F.when(F.col("j") >= outer, F.col("diff"))), "groups")
-    member, far = both.where(F.col("j") >= outer), both.where(F.col("j") < inner).select("lead", "k")
-    best = member.groupBy("lead").agg(F.min(F.struct("y", "k")).alias("b")).select("lead", F.col("b.y").alias("y0"), F.col("b.k").alias("k0"))
-    # Written, so that both sides of the join are plain shuffles and AQE can split a large group.
-    placed = member.join(written(best, "best"), "lead")
-    stars = written(placed.where("y + y0 <= 0 and k <> k0").select(F.least("k", "k0").alias("a"), F.greatest("k", "k0").alias("b")).distinct(), "stars")
-    grouped = components(stars).select(F.col("id").alias("k"), F.col("component").alias("g"))
-
-    # Members outside the star of a group, and what they share with its other members.
-    crowd = placed.where("y + y0 > 0").select("lead").distinct()
-    diffs = placed.join(crowd, "lead", "left_semi").select("lead", "k", "n", "y", "y0", F.explode("diff").alias("x"))
-    common = written(diffs.groupBy("lead", "x").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "common")
-    rows = diffs.join(common, ["lead", "x"]).groupBy("lead", "k").agg(F.first("n").alias("n"), F.first("y").alias("y"), F.first("y0").alias("y0"), F.sort_array(F.collect_list(F.struct("m", "x"))).alias("x"))
-    least_q, least_m = F.greatest(F.lit(1), F.ceil((F.col("y") + F.col("y0")) / (2 * u))), F.ceil((F.col("y") - F.col("y0") + 1) / (2 * u))
-    rows = rows.withColumn("sh", F.size("x")).withColumn("out", F.col("y") + F.col("y0") > 0).withColumn("need", F.when(F.col("out"), F.least(least_q, least_m)).otherwise(least_m)).where("sh >= need")
-    rows = written(rows.join(grouped, "k", "left").select("lead", "k", "n", "y", "sh", "out", F.coalesce("g", "k").alias("g"), F.transform(F.slice("x", 1, (F.col("sh") - F.col("need") + 1).cast("int")), lambda p: p["x"]).alias("x")), "open")
-    q = rows.where("out").select("lead", F.explode("x").alias("x"), "k", "n", "y", "sh", "g")
-    m = rows.select("lead", F.explode("x").alias("x"), F.col("k").alias("mk"), F.col("n").alias("mn"), F.col("y").alias("my"), F.col("sh").alias("msh"), F.col("g").alias("mg"))
-    met = q.join(m, ["lead", "x"]).where(f"g <> mg and y + my <= {2 * u} * least(sh, msh) and 100 * least(n, mn) >= {percent} * greatest(n, mn)")
-    pairs = met.select(F.least("k", "mk").alias("a"), F.greatest("k", "mk").alias("b"))
-    # What is far from its leader meets there directly, in other components only, once in its larger band.
-    away = written(buckets.join(far, ["lead", "k"], "left_semi").join(grouped, "k", "left").withColumn("g", F.coalesce("g", "k")), "far")
-    other = away.select("t", "band", F.col("own").alias("mown"), F.col("k").alias("mk"), F.col("n").alias("mn"), F.col("s").alias("ms"), F.col("g").alias("mg"))
-    direct = away.join(other, ["t", "band"]).where("k < mk and g <> mg and band = greatest(own, mown)").where(_may("n", "mn", "s", "ms", percent)).select(F.col("k").alias("a"), F.col("mk").alias("b"))
-    pairs = pairs.unionByName(direct).distinct()
-    return stars.unionByName(written(_verified(pairs, sets, percent), "links"))
+    # The shingles that no one else has come first, and they can't meet.
+    return sets.select("k", "n", "s", F.explode(F.slice("tok", 1, (misses + 1 - (F.col("n") - F.col("s"))).cast("int"))).alias("t"))
+
+
+def group_links(sets: DataFrame, prefix: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the components of joined (k, g) wherever classes of two of them are linked."""
+    at = written(prefix.join(joined, "k", "left").withColumn("g", F.coalesce("g", "k")), "at")
+    # Shingles at which components meet.
+    meet = written(at.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("t", "m"), "meet")
+    at = written(at.join(meet, "t"), "open")
+    own = at.groupBy("k").agg(F.first("g").alias("g"), F.first("s").alias("s"), F.max(F.struct("m", "t"))["t"].alias("t"))
+    large = own.groupBy("g").count().where("count > 1").select("g", F.lit(True).alias("large"))
+    own = own.join(large, "g", "left").withColumn("home", F.when(F.col("large"), F.xxhash64(F.lit("g"), "g")).otherwise(F.xxhash64(F.lit("t"), "t")))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_ROWS), F.ceil(F.sum("s") / GROUP_TOKENS)).cast("long")
+    parts = written(own.groupBy("home").agg(parts.alias("parts")), "homes")
+    group = F.when(F.col("parts") > 1, F.xxhash64("home", F.pmod(F.xxhash64("k"), F.col("parts")))).otherwise(F.col("home"))
+    own = written(own.join(parts, "home").select("k", "g", group.alias("p")), "groups")
+
+    unions = at.select("t", "k", "n").join(own, "k").groupBy("t", "p").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("g").alias("g0"), F.max("g").alias("g1"))
+    unions = written(unions, "unions")
+    other = unions.select("t", *[F.col(c).alias(f"o{c}") for c in ("p", "n0", "n1", "g0", "g1")])
+    several = F.least("g0", "og0") < F.greatest("g1", "og1")
+    sizes = f"100 * n1 >= {percent} * on0 and 100 * on1 >= {percent} * n0"
+    pairs = written(unions.join(other, "t").where("p <= op").where(sizes).where(several).select("p", "op").distinct(), "qualifying")
+
+    member = own.join(sets.select("k", "n", "tok"), "k").groupBy("p").agg(F.collect_list(F.struct("k", "g", "n", "tok")).alias("m"))
+    of = lambda c: F.transform("m", lambda x: x[c])
+    member = written(member.select("p", of("k").alias("k"), of("g").alias("g"), of("n").alias("n"), F.transform("m", lambda x: F.size(x["tok"])).alias("s"), F.flatten(of("tok")).alias("tok")), "matrix")
+    cols = ("k", "g", "n", "s", "tok")
+    both = pairs.join(member, "p").join(member.select(F.col("p").alias("op"), *[F.col(c).alias(f"o{c}") for c in cols]), "op")
+    # A row is two groups, so a batch of a few fills the memory that many short rows would.
+    return both.select((F.col("p") == F.col("op")).alias("same"), *cols, *[f"o{c}" for c in cols]).mapInArrow(_opened(percent), "a long, b long").distinct()
+
+
+def overlaps(tok: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray, least: np.ndarray, other_least: np.ndarray, columns: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of two groups (tokens row after row, and their number by row): the rows i and j that may reach their least
+    overlap with the other's token union, and their overlaps as a matrix."""
+    union = np.intersect1d(tok, other)
+    row, at = [], []
+    for t, n in ((tok, sizes), (other, other_sizes)):
+        c = np.minimum(np.searchsorted(union, t), max(len(union) - 1, 0))
+        ok = union[c] == t if len(union) else np.zeros(len(t), bool)
+        row.append(np.repeat(np.arange(len(n)), n)[ok])
+        at.append(c[ok])
+    keep = [np.flatnonzero(np.bincount(r, minlength=len(n)) >= m) for r, n, m in zip(row, (sizes, other_sizes), (least, other_least), strict=True)]
+    inter = np.zeros((len(keep[0]), len(keep[1])), np.float32)
+    if inter.size:
+        for c0 in range(0, len(union), columns):
+            sides = []
+            for r, c, k, n in zip(row, at, keep, (sizes, other_sizes), strict=True):
+                new = np.full(len(n), -1)
+                new[k] = np.arange(len(k))
+                here = (c >= c0) & (c < c0 + columns) & (new[r] >= 0)
+                m = np.zeros((len(k), min(columns, len(union) - c0)), np.float32)
+                m[new[r[here]], c[here] - c0] = 1
+                sides.append(m)
+            inter += sides[0] @ sides[1].T
+    return keep[0], keep[1], inter
+
+
+def _opened(percent: int):
+    """Opens pairs of groups; of the links between components, a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for i in range(b.num_rows):
+                same, *cols = (c[i] for c in b.columns)
+                k, g, n, s, tok, ok, og, on, os_, otok = (c.values.to_numpy(zero_copy_only=False) for c in cols)
+                x, y, inter = overlaps(tok, s, otok, os_, -(-percent * n // 100), -(-percent * on // 100))
+                linked = 100 * inter >= percent * (n[x][:, None] + on[y][None, :] - inter) - 1e-3
+                linked &= g[x][:, None] != og[y][None, :]
+                if same.as_py():
+                    linked = np.triu(linked, 1)
+                root: dict[int, int] = {}
+
+                def find(v: int, root=root) -> int:
+                    while root.setdefault(v, v) != v:
+                        root[v] = root[root[v]]
+                        v = root[v]
+                    return v
+
+                for p, q in np.argwhere(linked).tolist():
+                    u, v = find(int(g[x[p]])), find(int(og[y[q]]))
+                    if u != v:
+                        root[u] = v
+                        out.append((int(k[x[p]]), int(ok[y[q]])))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest doc_id reachable by links."""
     table = written(classes(docs, size), "classes")
-    found = links(docs, table, size, percent)
+    label = components(links(docs, table, size, percent))
     reps = table.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"))
-    # From classes to their smallest documents, so that a component is its smallest doc_id.
-    ends = found.join(reps.select(F.col("k").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("k").alias("b"), F.col("rep").alias("y")), "b")
-    label = components(ends.where("x is not null and y is not null").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = reps.join(label, F.col("rep") == F.col("id"), "left").select(F.col("k").alias("_k"), F.coalesce("component", "rep").alias("c"))
+    named = reps.join(label, F.col("k") == F.col("id"), "left").select("k", "rep", F.coalesce("component", "k").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    named = named.join(least, "c", "left").select(F.col("k").alias("_k"), F.coalesce("component_id", "rep").alias("c"))
     full = table.join(named, F.when(F.col("n") > 0, F.col("k")) == F.col("_k"), "left")
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def near_deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group of linked documents, with all columns: that with the smallest doc_id."""
-    gone = written(ngram_join(docs, size, percent).where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(small_side(gone), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    return kept
+    (name,) = fresh(docs, "gone")
+    gone = ngram_join(docs, size, percent).where("n_shingles > 0 and not (doc_id <=> component_id)")
+    gone = written(gone.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(small_side(gone), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")

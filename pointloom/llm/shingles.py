@@ -1,12 +1,16 @@
 """Hashed words and word shingles, in NumPy.
 
 Words are [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased: what bytes.lower()
-and bytes.split() give. Hashes have 64 bits.
+and bytes.split() give. Hashes have 64 bits. Many documents are hashed at once, from
+the buffers of an Arrow column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 SHINGLE = 5
 #: Odd multipliers of the hash functions.
@@ -16,24 +20,6 @@ MULTIPLIERS = np.array(
 )
 
 
-class WordHashes(dict):
-    """word (bytes) → 64-bit hash; forgets all beyond a bound."""
-
-    BOUND = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        v = self[word] = xxhash.xxh64_intdigest(word)
-        return v
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if len(self) > self.BOUND:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads the bits."""
     h = h ^ (h >> np.uint64(32))
@@ -43,6 +29,73 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Bytes hashed at once, unless one document has more.
+CHUNK_BYTES = 1 << 20
+_BASE = 0xD6E8FEB86659FD93
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A value for each byte; A-Z have those of a-z, spaces have none.
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[0])
+_VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
+_VALUE[_SPACE] = 0
+_POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of _BASE, and of its inverse."""
+    if len(_POWERS[0]) < n:
+        n = max(n, CHUNK_BYTES)
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of documents that lie in raw (bytes) between offsets, and where each document's words begin.
+
+    A word's hash is a polynomial of its bytes, taken from running sums.
+    """
+    n = len(raw)
+    inside = np.append(~_SPACE[raw], False)
+    border = np.zeros(n + 1, bool)
+    border[offsets] = True
+    before = np.append(False, inside[:-1])
+    starts = np.flatnonzero(inside & (~before | border))
+    ends = np.flatnonzero(before & (~inside | border))
+    power, inverse = _powers(n)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[raw] * power[:n])])
+    h = mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * MULTIPLIERS[5])
+    return h, np.searchsorted(starts, offsets)
+
+
+def sequences(texts: pa.Array, size: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, shingles) of each text in order; without a size no shingles are made."""
+    size = size or 1
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1)
+        words, at = word_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        all_ = masked(words, tuple(range(size)), size) if size > 1 else words
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield words[a:b], (all_[a : b - size + 1] if b - a >= size else shingled(words[a:b], size))
+        i = j
+
+
+def hashed(text: str) -> np.ndarray:
+    """The word hashes of one text."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return word_hashes(raw, np.array([0, len(raw)]))[0]
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
 def masked(words: np.ndarray, ones: tuple[int, ...], salt: int = 0) -> np.ndarray:
     """At each place, the hash of the words at the offsets in ones."""
     n = len(words) - ones[-1]
