@@ -7,7 +7,7 @@ turns that they outdate, and the final messages are rendered with a template.
 
 Template: `<|role|>`, newline, text, `</s>`, newline for each turn. Control
 strings inside texts and roles are escaped reversibly with a backslash after
-their first character; a backslash itself is doubled. The loss mask is a list of
+their first character, and `|>` inside roles likewise; a backslash itself is doubled. The loss mask is a list of
 spans (start, length in code points) over the assistant texts.
 
 Results in special cases: null text or role counts as empty; rows with equal
@@ -71,7 +71,7 @@ def folded(events: DataFrame) -> DataFrame:
 def rendered(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): one row per conversation; loss is an array of (start, length)."""
     order = Window.partitionBy("conv_id").orderBy("turn")
-    m = messages.select("conv_id", "turn", "role", F.concat(F.lit("<|"), escaped(F.col("role")), F.lit("|>\n")).alias("head"), escaped(F.col("text")).alias("body"))
+    m = messages.select("conv_id", "turn", "role", F.concat(F.lit("<|"), F.replace(escaped(F.col("role")), F.lit("|>"), F.lit("|\\>")), F.lit("|>\n")).alias("head"), escaped(F.col("text")).alias("body"))
     m = m.withColumn("piece", F.concat("head", "body", F.lit("</s>\n")))
     at = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("head")
     m = m.withColumn("span", F.when(F.col("role") == "assistant", F.struct(at.cast("long").alias("start"), F.length("body").cast("long").alias("length"))))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, text_of, written
+from .common import ascii_lower, fresh, text_of, written
 
 #: A chunk ends at the first of these places after MIN_CHUNK characters, or at MAX_CHUNK.
 #: The classes have the same members in either case, so that cuts don't depend on case.
@@ -81,5 +81,8 @@ def exact_dedup(docs: DataFrame, **how) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_dedup(docs, **how).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    id_, sha_ = fresh(docs, "id", "sha")
+    kept = exact_dedup(docs, **how).where("kept").select(F.col("doc_id").alias(f"{id_}2"), F.col("text_sha256").alias(f"{sha_}2"))
+    own = docs.withColumns({id_: F.col("doc_id").cast("long"), sha_: F.sha2(ascii_lower(text_of()), 256)})
+    found = own.join(kept, F.col(id_).eqNullSafe(F.col(f"{id_}2")) & (F.col(sha_) == F.col(f"{sha_}2")), "left_semi")
+    return found.dropDuplicates([id_, sha_]).select(*docs.columns)

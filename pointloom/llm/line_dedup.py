@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, text_of, written
+from .common import SPACE, ascii_lower, fresh, text_of, written
 
 MIN_CHARS = 10
 _LAST = (1 << 63) - 1
@@ -45,11 +45,14 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     shared = written(shared, "lines")
     at = base.select("_id", "_row", F.posexplode("_h").alias("pos", "k")).where("k is not null").select("_id", "_row", "pos", "k.a", "k.b")
     dropped = at.join(shared, ["a", "b"]).where("_id > first").groupBy("_id", "_row").agg(F.sort_array(F.collect_set("pos")).alias("_gone")).select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), "_gone")
-    joined = docs.withColumns({"_id": own, "_row": F.xxhash64(text_of())}).join(dropped, (F.col("_id") == F.col("_id2")) & (F.col("_row") == F.col("_row2")), "left")
+    id_, row_, gone_, lines_, ends_ = fresh(docs, "id", "row", "gone", "lines", "ends")
+    dropped = dropped.withColumnRenamed("_gone", gone_)
+    same = (F.col(id_) == F.col(f"{id_}2")) & (F.col(row_) == F.col(f"{row_}2"))
+    joined = docs.withColumns({id_: own, row_: F.xxhash64(text_of())}).join(dropped.withColumnsRenamed({"_id2": f"{id_}2", "_row2": f"{row_}2"}), same, "left")
     # The lines between the dropped positions, as slices: linear in the number of lines.
-    n, gone = F.size(lines), F.coalesce("_gone", F.array().cast("array<int>"))
-    joined = joined.withColumns({"_lines": lines, "_ends": F.concat(F.array(F.lit(-1)), gone, F.array(n))})
-    between = F.transform(F.sequence(F.lit(1), F.size("_ends") - 1), lambda i: F.slice("_lines", F.col("_ends")[i - 1] + 2, F.col("_ends")[i] - F.col("_ends")[i - 1] - 1))
-    kept = F.when(F.col("_gone").isNull(), text_of()).otherwise(F.array_join(F.flatten(between), "\n"))
-    out = joined.withColumns({"_text": kept, "n_lines": F.size("_lines").cast("long"), "n_dropped": F.size(gone).cast("long")})
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    n, gone = F.size(lines), F.coalesce(gone_, F.array().cast("array<int>"))
+    joined = joined.withColumns({lines_: lines, ends_: F.concat(F.array(F.lit(-1)), gone, F.array(n))})
+    between = F.transform(F.sequence(F.lit(1), F.size(ends_) - 1), lambda i: F.slice(lines_, F.col(ends_)[i - 1] + 2, F.col(ends_)[i] - F.col(ends_)[i - 1] - 1))
+    kept = F.when(F.col(gone_).isNull(), text_of()).otherwise(F.array_join(F.flatten(between), "\n"))
+    counts = [F.size(lines_).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped")]
+    return joined.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], *counts)

@@ -3,9 +3,10 @@
 Documents longer than the largest capacity are cut into pieces. Pieces are dealt
 out to shards by a hash, and each shard packs them in blocks of bounded size: the
 longest first, each into the open bin that it fills best. Where none fits, a bin
-of the least-cost size is opened: several opening policies are tried for a block
-(least cost per unit, largest, smallest that fits) and the one with the least
-total cost is kept. At the end each bin shrinks to the smallest permitted
+of the least-cost size is opened: for each bin the size is chosen by what it would
+cost a unit, given the pieces that are still to be placed. Three fixed policies (least
+cost per unit, largest, smallest that fits) are tried for a block too, and the result
+with the least total cost is kept. At the end each bin shrinks to the smallest permitted
 capacity that holds its contents.
 
 Only ids and lengths are shuffled, never text.
@@ -41,11 +42,31 @@ def words_and_end() -> Column:
     return (F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
 
 
-def _fill(order: list[int], lengths: list[int], opening: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
-    """Best fit: the bin and the offset of each piece, and what each bin holds. opening: length → capacity."""
+def _marginal(caps: list[int], order: list[int], lengths: list[int]):
+    """place → the capacity with the least cost a unit that it can hold: the piece there, and of the shorter ones behind it what fits."""
+    down = [-lengths[i] for i in order]  # ascending
+    behind = [0]
+    for x in reversed(down):
+        behind.append(behind[-1] - x)
+    behind.reverse()  # behind[p]: the lengths from place p on
+
+    def choose(p: int) -> int:
+        n = -down[p]
+
+        def price(c: int) -> tuple[float, int]:
+            fill = n + min(c - n, behind[max(p + 1, bisect.bisect_left(down, n - c))] if c > n else 0)
+            return cost(caps[bisect.bisect_left(caps, fill)]) / fill, c
+
+        return min((c for c in caps if c >= n), key=price)
+
+    return choose
+
+
+def _fill(order: list[int], lengths: list[int], opening) -> tuple[list[int], list[int], list[int]]:
+    """Best fit: the bin and the offset of each piece, and what each bin holds. opening(place in order) → capacity of a new bin."""
     room: list[tuple[int, int]] = []  # (free, bin), ascending
     bins, offsets, held, size = [0] * len(lengths), [0] * len(lengths), [], []
-    for i in order:
+    for p, i in enumerate(order):
         n = lengths[i]
         k = bisect.bisect_left(room, (n, -1))
         if k < len(room):
@@ -53,7 +74,7 @@ def _fill(order: list[int], lengths: list[int], opening: dict[int, int]) -> tupl
         else:
             b = len(held)
             held.append(0)
-            size.append(opening[n])
+            size.append(opening(p))
         bins[i], offsets[i] = b, held[b]
         held[b] += n
         if size[b] > held[b]:
@@ -68,8 +89,10 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     best = None
     policies = (lambda n: min(fits(n), key=lambda c: (cost(c) / c, c)), lambda n: caps[-1], lambda n: fits(n)[0])
-    for policy in policies:
-        bins, offsets, held = _fill(order, lengths, {n: policy(n) for n in set(lengths)})
+    by_length = [{n: policy(n) for n in set(lengths)} for policy in policies]
+    openings = [_marginal(caps, order, lengths), *(lambda p, of=of: of[lengths[order[p]]] for of in by_length)]
+    for opening in openings:
+        bins, offsets, held = _fill(order, lengths, opening)
         final = [fits(h)[0] for h in held]  # each bin shrinks to its contents
         total = sum(map(cost, final))
         if best is None or total < best[0]:

@@ -7,16 +7,21 @@ documents, loss l and output g,
 
     p E_pos[l(g, +)] + max(0, E_unl[l(g, -)] - p E_pos[l(g, -)]).
 
-Negative labels never enter the risk; the share p is estimated from the labelled
-rows outside the held-out fold. Features are whole-text statistics: byte classes,
+Negative labels are never used. The share p is estimated from positives and
+unlabelled rows alone: a classifier that tells the two apart is fitted on one half of
+each; among the other halves, the rows that score above a threshold are a share of the
+unlabelled ones that is at least p times their share of the positives, and the threshold
+where a confidence bound of that quotient is least gives the estimate. Features are whole-text statistics: byte classes,
 word lengths, repetition and compressibility.
 
-Training uses at most about max_train positives and max_train unlabelled rows
-(documented bounds; chosen by a hash of doc_id). Everything else covers all rows.
+Training uses at most about max_train labelled positives and, as a parameter of its
+own, about max_unlabelled unlabelled rows, chosen by a hash of doc_id (a test shows that
+the result doesn't move with it). Everything else covers all rows.
 
 Results in special cases: null and empty texts are scored like any (their
 statistics are zero); a null doc_id is a row like others; without positives every
-score is 0, with positives only every score is 1; rows repeated yield a row each;
+score is 0; labels that are all positive are enough; rows repeated yield a row each; a
+very long text is measured whole;
 further columns stay in quality_kept and are ignored in quality.
 """
 
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, text_of
 
-MAX_TRAIN, THRESHOLD, HIDDEN = 20_000, 0.3, 24
+MAX_TRAIN, MAX_UNLABELLED, THRESHOLD, HIDDEN = 20_000, 20_000, 0.3, 24
 #: Classes of bytes whose shares are features.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b"\t\r", b".", b",", b"!", b"?", b"#$%&*^~", b"|", b"<>{}[]=\\/_", b"\"'()", b":;-", b"@+")
 
@@ -70,8 +75,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.tanh(z @ w1 + b1) @ w2 + b2, -40, 40)))
 
 
-def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, seed: int = 0, hidden: int = HIDDEN) -> Model:
-    """Minimises the non-negative risk with logistic loss by Adam."""
+def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, seed: int = 0, hidden: int = HIDDEN, corrected: bool = True) -> Model:
+    """Minimises the non-negative risk with logistic loss by Adam; uncorrected, unlabelled rows count as negatives."""
     rng = np.random.default_rng(seed)
     both = np.vstack([pos, unl])
     mean, scale = both.mean(0), both.std(0) + 1e-6
@@ -91,8 +96,9 @@ def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, seed
         for _ in range(rounds):
             bp, bu = p[rng.integers(0, len(p), size_p)], u[rng.integers(0, len(u), size_u)]
             (ap, gp), (au, gu) = forward(bp), forward(bu)
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            du, dp = sig(gu) / size_u, -prior * sig(gp) / size_p  # of the negative part
+            share = prior if corrected else 0.0
+            negative = np.logaddexp(0, gu).mean() - share * np.logaddexp(0, gp).mean()
+            du, dp = sig(gu) / size_u, -share * sig(gp) / size_p  # of the negative part
             if negative < 0:  # over-fitted: step back on it alone
                 du, dp = -du, -dp
             else:
@@ -109,31 +115,48 @@ def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, seed
     return Model(prior, mean, scale, tuple(par))
 
 
+def estimated_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 0) -> float:
+    """The share of positives among the unlabelled rows."""
+    r = np.random.default_rng(seed)
+    p, u = pos[r.permutation(len(pos))], unl[r.permutation(len(unl))]
+    found = []
+    for k in (0, 1):  # either half fits, the other measures
+        model = nn_pu(p[k::2], u[k::2], 1.0, epochs=20, seed=seed, corrected=False)
+        a, b = (model.score(x[1 - k :: 2]) for x in (p, u))
+        if len(a) and len(b):
+            at = np.unique(a)
+            above = lambda s: 1 - np.searchsorted(np.sort(s), at, "left") / len(s)  # noqa: B023,E731
+            qp, qu = above(a), above(b)
+            slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(a)) + 1 / np.sqrt(len(b)))
+            i = int(np.argmin((qu + slack) / qp))
+            found.append(qu[i] / qp[i])
+    return float(np.clip(np.mean(found) if found else 0.5, 0.01, 0.99))
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = pa.array([statistics(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), x], ["pos", "unl", "x"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, prior: float | None = None) -> Model:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model:
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null and y is not null")
     own = own.where(fold_of(F.col("_id")) != 0).groupBy("_id").agg(F.max("y").alias("y"))
-    n, good = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not good or n == good:
-        return Model(float(bool(good)))
-    prior = good / n if prior is None else prior
+    good = own.where("y = 1").count()
+    if not good:
+        return Model(0.0)
     unit = 1 << 30
     pick = lambda id_, seed, share: F.pmod(F.xxhash64(id_, F.lit(seed)), F.lit(unit)) < int(min(1.0, share) * unit)
     # At most about max_train trusted positives: safe to broadcast.
     trusted = F.broadcast(own.where("y = 1").where(pick(F.col("_id"), 23, max_train / good)).select("_id", F.lit(True).alias("pos")))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_of().alias("text"))
-    chosen = rows.join(trusted, "_id", "left").select("text", F.coalesce("pos", F.lit(False)).alias("pos"), pick(F.col("_id"), 29, max_train / max(docs.count(), 1)).alias("unl")).where("pos or unl")
-    got = chosen.mapInArrow(_measured, "pos boolean, unl boolean, x array<double>").collect()  # about 2 * max_train rows of statistics
+    chosen = rows.join(trusted, "_id", "left").select("text", F.coalesce("pos", F.lit(False)).alias("pos"), pick(F.col("_id"), 29, max_unlabelled / max(docs.count(), 1)).alias("unl")).where("pos or unl")
+    got = chosen.mapInArrow(_measured, "pos boolean, unl boolean, x array<double>").collect()  # about max_train + max_unlabelled rows of statistics
     take = lambda k: np.array([r["x"] for r in got if r[k]], np.float64).reshape(-1, N_FEATURES)
     pos, unl = take("pos"), take("unl")
     if not len(pos) or not len(unl):
-        return Model(float(prior))
-    return nn_pu(pos, unl, prior)
+        return Model(float(bool(len(pos))))
+    return nn_pu(pos, unl, estimated_prior(pos, unl) if prior is None else prior)
 
 
 def quality(docs: DataFrame, labels: DataFrame, model: Model | None = None, **how) -> DataFrame:

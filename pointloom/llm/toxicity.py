@@ -10,12 +10,13 @@ a score by a logistic function.
 Lexicon, exceptions and logistic function are learned from labelled documents
 outside the held-out fold, at most about max_train of them (a documented bound on
 labelled rows; they are chosen by a hash of doc_id). Pattern counts are Spark
-aggregations; the model is a few thousand patterns at most (max_lexicon).
+aggregations. All patterns and exceptions that pass the tests are taken: their number is
+bounded by that of the labelled rows, three of which must hold each.
 
 Results in special cases: null and empty texts get the score of a text without
 hits; a null doc_id is a row like others; without labels, or with one class only,
 every score is the share of toxic rows (0 without rows); rows repeated yield a row
-each; further columns are ignored.
+each; a very long text is matched whole in one pass; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import fold_of, text_of
 
-MAX_TRAIN, MAX_LEXICON = 20_000, 4_000
-LEAST_LLR = 25.0
+MAX_TRAIN, LEAST_LLR = 20_000, 25.0
 STEMS = range(3, 8)
 #: Letters that look like Latin ones, and substitutes for letters.
 HOMOGLYPHS = {
@@ -122,6 +122,12 @@ def llr(a: float, b: float, c: float, d: float) -> float:
     return 2 * sum(o * math.log(o * n / (r * k)) for o, r, k in ((a, a + b, a + c), (b, a + b, b + d), (c, c + d, a + c), (d, c + d, b + d)) if o > 0)
 
 
+def _llr_sql(t: int, n: int) -> str:
+    """llr(toxic, t - toxic, clean, n - clean) as a SQL expression."""
+    cells = (("toxic", "(toxic + clean)", t), (f"({t} - toxic)", f"({t + n} - toxic - clean)", t), ("clean", "(toxic + clean)", n), (f"({n} - clean)", f"({t + n} - toxic - clean)", n))
+    return "2 * (" + " + ".join(f"if({o} > 0, {o} * ln({o} * {t + n}D / ({r} * {c}D)), 0)" for o, r, c in cells) + ")"
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int) -> DataFrame:
     """(text, y) of labelled documents outside the held-out fold, about max_train at most, by a hash of doc_id."""
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null and y is not null")
@@ -155,7 +161,7 @@ def _counted(rows: DataFrame, find) -> DataFrame:
     return rows.mapInArrow(run, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN, max_lexicon: int = MAX_LEXICON, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def fit_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN, exceptions: tuple[str, ...] = ()) -> Lexicon:
     rows = training_rows(docs, labels, label, max_train).cache()
     try:
         total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -164,11 +170,11 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_tr
             share = t / max(t + n, 1)
             return Lexicon(logistic=(math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0))
         # A pattern passes only if it is far more common in toxic documents than chance allows.
-        counted = _counted(rows, _patterns).where(f"toxic >= 3 and toxic * {n} > 3 * clean * {t}").orderBy(F.desc("toxic"), "pattern").limit(20 * max_lexicon).collect()
+        counted = _counted(rows, _patterns).where(f"toxic >= 3 and toxic * {n} > 3 * clean * {t}").where(_llr_sql(t, n) + f" >= {LEAST_LLR - 0.01}").collect()
         scored = [(llr(r["toxic"], t - r["toxic"], r["clean"], n - r["clean"]), r["pattern"], math.log((r["toxic"] + 0.5) / (t + 1)) - math.log((r["clean"] + 0.5) / (n + 1))) for r in counted]
         weights: dict[str, float] = {}
         for g, p, w in sorted(scored, key=lambda x: (-x[0], -len(x[1]), x[1])):
-            if g < LEAST_LLR or len(weights) >= max_lexicon:
+            if g < LEAST_LLR:
                 break
             stem = p.rstrip()
             if not any(stem.startswith(q.rstrip()) or q.startswith(stem) for q in weights):
@@ -189,7 +195,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_tr
             return out
 
         # Exception phrases: a hit with its neighbour that is common in clean documents and not telling.
-        safe = _counted(rows, phrases).where(f"clean >= 3 and toxic * {n} <= 2 * clean * {t}").orderBy(F.desc("clean"), "pattern").limit(max_lexicon).collect()
+        safe = _counted(rows, phrases).where(f"clean >= 3 and toxic * {n} <= 2 * clean * {t}").collect()
         lex.exceptions = frozenset(r["pattern"] for r in safe) | frozenset(folded(x) for x in exceptions)
         lex.logistic = _fit_logistic(lex, rows)
         return lex
