@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 CAMERAS = "resolution int, focal_length_px double, cameras array<struct<frame:string,transform:array<array<double>>,width:int,height:int,fx:double,fy:double,cx:double,cy:double>>"
 SEGMENTS = "primary_frame string, segments array<struct<id:int,label:string,area:bigint,bbox:array<int>,confidence:double,color:array<int>,visible:boolean,gaussian_ids:array<bigint>>>"
-RESULTS = "method string, dataset string, scene string, training_time_sec double, num_gaussians bigint, mean_psnr double, mean_ssim double, mean_lpips double, per_view array<struct<name:string,psnr:double,ssim:double,lpips:double>>, _corrupt_record string"
+RESULTS = "method string, dataset string, scene string, training_time_sec double, num_gaussians bigint, metrics struct<mean_psnr:double,mean_ssim:double,mean_lpips:double>, config map<string,string>, mean_psnr double, mean_ssim double, mean_lpips double, per_view array<struct<name:string,psnr:double,ssim:double,lpips:double>>, _corrupt_record string"
 FRAMES = "frames array<struct<filename:string,source_file:string,source_type:string,sharpness:double,selected:boolean>>"
 RESOLUTION, FOCAL_SHARE = 448, 0.85
 #: The extensions of each media type.
@@ -66,10 +66,14 @@ def with_missing_frames(manifest: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """All results.json below a path; unreadable files are left out, absent names are "unknown"."""
+    """All results.json below a path; unreadable files are left out, absent names are "unknown".
+
+    Means are taken from metrics, or from the top level where it lacks them.
+    """
     raw = spark.read.schema(RESULTS).option("recursiveFileLookup", True).option("pathGlobFilter", "results.json").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     good = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return good.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("method", "dataset", "scene")})
+    means = {c: F.coalesce(F.col(f"metrics.{c}"), F.col(c)) for c in ("mean_psnr", "mean_ssim", "mean_lpips")}
+    return good.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("method", "dataset", "scene")} | means).drop("metrics")
 
 
 def normal_metrics(raw: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFrame:

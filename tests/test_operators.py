@@ -157,7 +157,12 @@ def test_manifests(spark, sf, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "a/results.json").write_text(json.dumps({"method": "x", "mean_psnr": 30.5}))
     (tmp_path / "b/results.json").write_text("{broken")
-    r = m.read_results(spark, str(tmp_path)).collect()
+    (tmp_path / "c").mkdir()
+    nested = {"method": "y", "scene": "s", "metrics": {"mean_psnr": 27.25, "mean_ssim": 0.9}, "config": {"iterations": 7000}, "per_view": [{"name": "v", "psnr": 27.25}]}
+    (tmp_path / "c/results.json").write_text(json.dumps(nested, indent=1))
+    r = sorted(m.read_results(spark, str(tmp_path)).collect(), key=lambda x: x["method"])
+    assert r[1]["mean_psnr"] == 27.25 and r[1]["mean_ssim"] == 0.9 and r[1]["mean_lpips"] is None and r[1]["config"] == {"iterations": "7000"} and r[1]["per_view"][0]["psnr"] == 27.25
+    r = r[:1]
     assert len(r) == 1 and r[0]["scene"] == "unknown" and r[0]["mean_psnr"] == 30.5
     doc = {"resolution": 100, "cameras": [{"frame": "f.jpg", "transform": [[1, 0, 0, 5], [0, 1, 0, 6], [0, 0, 1, 7], [0, 0, 0, 1]]}]}
     (tmp_path / "cameras.json").write_text(json.dumps(doc))
