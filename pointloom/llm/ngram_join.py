@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, small_side, text_of, written
+from .common import batches_of, fresh, small_side, text_of, written
 from .components import components
 from .shingles import SHINGLE, distinct, mixed, sequences
 
@@ -206,7 +206,10 @@ def links(docs: DataFrame, table: DataFrame, size: int = SHINGLE, percent: int =
     buckets = _buckets(prefix, percent)
     stars = written(_verified(buckets.where("k <> lead").select(F.col("k").alias("a"), F.col("lead").alias("b")).distinct(), sets, percent), "stars")
     joined = components(stars).select(F.col("id").alias("k"), F.col("component").alias("g"))
-    return stars.unionByName(written(group_links(sets, prefix, joined, percent), "links"))
+    opened = group_links(sets, prefix, joined, percent)
+    with batches_of(docs.sparkSession, 16):
+        opened = written(opened, "links")
+    return stars.unionByName(opened)
 
 
 def by_frequency(common: DataFrame, percent: int) -> DataFrame:
@@ -252,7 +255,6 @@ def group_links(sets: DataFrame, prefix: DataFrame, joined: DataFrame, percent:
     member = written(member.select("p", of("k").alias("k"), of("g").alias("g"), of("n").alias("n"), F.transform("m", lambda x: F.size(x["tok"])).alias("s"), F.flatten(of("tok")).alias("tok")), "matrix")
     cols = ("k", "g", "n", "s", "tok")
     both = pairs.join(member, "p").join(member.select(F.col("p").alias("op"), *[F.col(c).alias(f"o{c}") for c in cols]), "op")
-    # A row is two groups, so a batch of a few fills the memory that many short rows would.
     return both.select((F.col("p") == F.col("op")).alias("same"), *cols, *[f"o{c}" for c in cols]).mapInArrow(_opened(percent), "a long, b long").distinct()
 
 
