@@ -156,5 +156,5 @@ def distribution_metrics(df: DataFrame) -> DataFrame:
 
 
 def repeatable_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, the same for a given seed whatever the partitioning."""
-    return df.orderBy(F.xxhash64("gid", F.lit(seed)), "gid").limit(n)
+    """n rows without replacement, the same for a given seed whatever the partitioning: the least by a digest of seed and gid."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("gid").cast("string"))), "gid").limit(n)

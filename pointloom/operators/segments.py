@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import applied, composed, palette, rotation_matrix, rotation_quaternion
+from .camera import small
 from .scene import AXES, SCALES
 
 
@@ -223,7 +224,7 @@ def classify(segments: DataFrame, vocabulary: DataFrame, threshold: float = 0.15
     """
     unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)))
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-    s = segments.select("segment_id", unit(F.col("v").cast("array<double>")).alias("v")).crossJoin(F.broadcast(vocabulary.select("label", unit(F.col("w").cast("array<double>")).alias("w"))))
+    s = segments.select("segment_id", unit(F.col("v").cast("array<double>")).alias("v")).crossJoin(small(vocabulary.select("label", unit(F.col("w").cast("array<double>")).alias("w"))))
     s = s.select("segment_id", "label", (dot * temperature).alias("s"))
     by = Window.partitionBy("segment_id")
     p = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(by))).withColumn("p", F.col("e") / F.sum("e").over(by))

@@ -63,7 +63,8 @@ def a08(g1, c1):
 
 @query("a09_floaters", ("g1", "c1"), f"""
 with {SEEN}, n as (select gid, count(distinct pos) n from seen group by gid), t as (select count(distinct pos) total from seen),
-d as (select a.gid, min(sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2)) filter (where sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) >= 1e-8) d from g1 a, g1 b group by a.gid), m as (select median(d) mid from d)
+an as (select * from g1 order by md5('0:' || gid), gid limit 4096),
+d as (select a.gid, min(sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2)) filter (where sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) >= 1e-8) d from g1 a, an b group by a.gid), m as (select median(d) mid from d)
 select g1.gid, (coalesce(n.n,0)::double/greatest(total,1) < 0.9 or coalesce(d > 1.5*mid, false)) and {SIG.format('opacity')} <= 0.8 and total >= 5 as floater from g1 left join n using (gid) left join d using (gid), t, m""")
 def a09(g1, c1):
     seen = camera.project(g1, c1, RES, FOCAL).select(F.col("pos").alias("view"), "gid")
@@ -84,9 +85,9 @@ def j06(c1):
     return camera.nearest_pairs(c1, 3)
 
 
-@query("j09_match_cameras", ("f1", "c1"), "with f as (select filename, idx from f1 where idx < 12) select filename, idx, coalesce((select min(pos) from c1 where frame like '%' || filename || '%'), (select pos from c1 where pos = regexp_extract(filename, '_(\\d+)\\.[^.]*$', 1)::int)) pos from f")
+@query("j09_match_cameras", ("f1", "c1"), "with f as (select filename, idx from f1) select filename, idx, coalesce((select min(pos) from c1 where frame like '%' || filename || '%'), (select pos from c1 where pos = regexp_extract(filename, '_(\\d+)\\.[^.]*$', 1)::int)) pos from f")
 def j09(f1, c1):
-    return camera.match_cameras(f1.where("idx < 12").select("filename", "idx"), c1)
+    return camera.match_cameras(f1.select("filename", "idx"), c1)
 
 
 @query("j13_best_camera", ("g1", "c1"), f"""
@@ -171,13 +172,13 @@ _W1 = [math.exp(-((i - 5) ** 2) / 4.5) for i in range(11)]
 
 
 @query("a11_ssim", ("d1",), f"""
-with s as (select view, u, v, c, a, b from (select view, u, v, unnest(['r','g','b']) c, unnest([r,g,b]) a, unnest([gt_r,gt_g,gt_b]) b from d1 where u < 16 and v < 16)),
+with s as (select view, u, v, c, a, b from (select view, u, v, unnest(['r','g','b']) c, unnest([r,g,b]) a, unnest([gt_r,gt_g,gt_b]) b from d1)),
 k as (select i-5 o, exp(-((i-5)**2)/4.5)/{sum(_W1)!r} w from range(11) t(i)), w as (select x.o du, y.o dv, x.w*y.w w from k x, k y),
 m as (select p.view, p.u, p.v, p.c, {_S.format("q.a")} ma, {_S.format("q.b")} mb, {_S.format("q.a*q.a")} aa, {_S.format("q.b*q.b")} bb, {_S.format("q.a*q.b")} ab
 from s p cross join w join s q on q.view = p.view and q.c = p.c and q.u = p.u + du and q.v = p.v + dv group by 1,2,3,4)
 select view, round(avg((2*ma*mb+1e-4)*(2*(ab-ma*mb)+9e-4)/((ma*ma+mb*mb+1e-4)*(aa-ma*ma+bb-mb*mb+9e-4))),6) ssim from m group by view""")
 def a11(d1):
-    return rounded(pixels.ssim(d1.where("u < 16 and v < 16")), "ssim")
+    return rounded(pixels.ssim(d1), "ssim")
 
 
 @query("w08_gradient", ("d1",), "select view, u, v, round(sqrt((coalesce(lead(depth) over a, depth)-coalesce(lag(depth) over a, depth))**2+(coalesce(lead(depth) over b, depth)-coalesce(lag(depth) over b, depth))**2),6) gradient from d1 window a as (partition by view, v order by u), b as (partition by view, u order by v)")

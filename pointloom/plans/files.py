@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import pixels, scene
-from ..sources import colmap, ply
+from ..operators import edits, pixels, scene
+from ..sources import colmap, manifests, ply
 from ..streaming.sessions import shared_folder
 from .registry import query
 from .scene import rounded
@@ -69,3 +69,48 @@ def s08(g1, c1):
 def a17_normals(d1):
     names = {"r": "nx", "g": "ny", "b": "nz", "gt_r": "sx", "gt_g": "sy", "gt_b": "sz", "alpha": "distortion"}
     return rounded(pixels.surface_metrics(d1.withColumnsRenamed(names)), "normal_inconsistency", "distortion")
+
+
+@query("s09_sfm_export", ("g1", "c1"), "select 'point' part, gid + 1 id, round(x,6) a, round(y,6) b, round(z,6) c, (gid % 256)::double d from g1 union all select 'image', pos + 1, round(-(r00*t0+r10*t1+r20*t2),6), round(-(r01*t0+r11*t1+r21*t2),6), round(-(r02*t0+r12*t1+r22*t2),6), fx from c1")
+def s09(g1, c1):
+    path = folder(g1)
+    level = (F.col("gid") % 256) / 255.0
+    colmap.write_model(path, c1, g1.select("gid", "x", "y", "z", level.alias("r"), F.lit(0.4).alias("g"), F.lit(1.0).alias("b")))
+    cams, imgs, pts = colmap.read_model(g1.sparkSession, path)
+    points = pts.select(F.lit("point").alias("part"), F.col("point_id").alias("id"), "x", "y", "z", F.round(F.col("r") * 255))
+    images = imgs.join(cams, "camera_id").select(F.lit("image"), F.col("image_id").cast("long"), "tx", "ty", "tz", "fx")
+    return rounded(points.union(images).toDF("part", "id", *"abcd"), *"abc")
+
+
+@query("s12_benchmark_results", ("results",), "select method, dataset, scene, mean_psnr, mean_ssim, mean_lpips, training_time_sec, num_gaussians from results")
+def s12(results):
+    path = f"{folder(results)}/results"
+    manifests.write_results(results.drop("is_published"), path)
+    back = manifests.read_results(results.sparkSession, path, "*.json", a_file_each=False)
+    return back.select("method", "dataset", "scene", "mean_psnr", "mean_ssim", "mean_lpips", "training_time_sec", "num_gaussians")
+
+
+@query("s14_evaluation_files", ("results",), "select method, dataset, scene as name, mean_psnr psnr, mean_ssim ssim, mean_lpips lpips from results")
+def s14(results):
+    path = f"{folder(results)}/evaluation"
+    per_view = results.select("method", "dataset", F.col("scene").alias("name"), *[F.col(f"mean_{m}").alias(m) for m in ("psnr", "ssim", "lpips")])
+    manifests.write_evaluation(per_view, path, ["method", "dataset"])
+    return manifests.read_evaluation(results.sparkSession, path, "method string, dataset string")
+
+
+@query("s15_media_listing", ("f1",), "with a as (select case idx % 3 when 0 then 'clip_' || idx || '.MP4' when 1 then 'img ' || idx || '.jpeg' else 'notes ' || idx || '.txt' end filename, idx from f1) select filename, case idx % 3 when 0 then 'video' else 'photo' end kind, idx as number from a where idx % 3 < 2")
+def s15(f1):
+    n, i = F.col("idx") % 3, F.col("idx").cast("string")
+    name = F.when(n == 0, F.concat(F.lit("clip_"), i, F.lit(".MP4"))).when(n == 1, F.concat(F.lit("img "), i, F.lit(".jpeg"))).otherwise(F.concat(F.lit("notes "), i, F.lit(".txt")))
+    files = f1.select(F.concat(F.lit("media/"), name).alias("path"))
+    return manifests.by_number(manifests.media_listing(files)).select("filename", "kind", manifests.first_number(F.col("filename")).alias("number"))
+
+
+@query("e13_snapshots", ("g1",), "select 'restored' part, gid, round(opacity+1,6) opacity from g1 union all select 'original', gid, round(opacity,6) from g1 union all select 'listed', unnest([1,3]), null")
+def e13(g1):
+    kept = edits.Snapshots(g1.sparkSession, f"{folder(g1)}/undo")
+    ids = [kept.save(g1.select("gid", (F.col("opacity") + n).alias("opacity")), f"brighter by {n}") for n in range(3)]
+    restored = kept.restore(ids[1])
+    parts = [("restored", restored), ("original", kept.original()), ("listed", kept.list().select(F.col("id").alias("gid"), F.lit(None).cast("double").alias("opacity")))]
+    rows = [d.select(F.lit(n).alias("part"), "gid", "opacity") for n, d in parts]
+    return rounded(rows[0].union(rows[1]).union(rows[2]), "opacity")

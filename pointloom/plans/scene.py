@@ -191,9 +191,9 @@ def e14(g1):
     return rounded(out.select("gid", "scale_0", "opacity", "f_dc_0", "rot_0", F.size("f_rest").alias("n_rest")), "scale_0", "f_dc_0")
 
 
-@query("j04_radius_pairs", ("g2",), "with p as (select * from g2 where segment_id = 3) select a.gid a_gid, b.gid b_gid from p a join p b on a.gid < b.gid and abs(a.x-b.x) <= 1.5 and (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 <= 1.5*1.5")
+@query("j04_radius_pairs", ("g2",), "select a.gid a_gid, b.gid b_gid from g2 a join g2 b on a.gid < b.gid and abs(a.x-b.x) <= 0.5 and (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 <= 0.25")
 def j04(g2):
-    return spatial.close_pairs(g2.where("segment_id = 3"), 1.5).select("a_gid", "b_gid")
+    return spatial.close_pairs(g2, 0.5).select("a_gid", "b_gid")
 
 
 @query("j05_deduplicate", ("g2",))
@@ -201,11 +201,11 @@ def j05(g2):
     return spatial.deduplicate(g2, 0.3).select("gid")
 
 
-@query("j15_anchor_isolation", ("g1",), "select a.gid, round(min(d) filter (where d >= 1e-8),6) d from (select a.gid, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) d from g1 a, g1 b where b.gid < 4096) a group by a.gid")
+@query("j15_anchor_isolation", ("g1",), "select a.gid, round(min(d) filter (where d >= 1e-8),6) d from (select a.gid, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) d from g1 a, (select * from g1 order by md5('0:' || gid), gid limit 4096) b) a group by a.gid")
 def j15(g1):
-    return rounded(spatial.anchor_isolation(g1, g1.where("gid < 4096")), "d")
+    return rounded(spatial.anchor_isolation(g1, g1), "d")
 
 
-@query("l10_repeatable_sample", ("g1",))
+@query("l10_repeatable_sample", ("g1",), "select gid from g1 order by md5('7:' || gid), gid limit 100")
 def l10(g1):
     return scene.repeatable_sample(g1, 100, seed=7).select("gid")

@@ -65,12 +65,20 @@ def with_missing_frames(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return manifest.unionByName(rest.select("filename", F.lit(0.0).alias("sharpness"), F.lit(True).alias("selected")), allowMissingColumns=True)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
+def write_results(results: DataFrame, path: str) -> None:
+    """One JSON row per result, its means nested under metrics; read back with files="*.json" and a document per line."""
+    means = [c for c in ("mean_psnr", "mean_ssim", "mean_lpips") if c in results.columns]
+    rest = [c for c in results.columns if c not in means]
+    results.select(*rest, F.struct(*means).alias("metrics")).write.mode("overwrite").json(path)
+
+
+def read_results(spark: SparkSession, path: str, files: str = "results.json", a_file_each: bool = True) -> DataFrame:
     """All results.json below a path; unreadable files are left out, absent names are "unknown".
 
     Means are taken from metrics, or from the top level where it lacks them.
     """
-    raw = spark.read.schema(RESULTS).option("recursiveFileLookup", True).option("pathGlobFilter", "results.json").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path, wholetext=a_file_each)
+    raw = raw.select(F.from_json("value", RESULTS, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d")).where("d is not null").select("d.*")
     good = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     means = {c: F.coalesce(F.col(f"metrics.{c}"), F.col(c)) for c in ("mean_psnr", "mean_ssim", "mean_lpips")}
     return good.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("method", "dataset", "scene")} | means).drop("metrics")
@@ -105,10 +113,21 @@ def media_type(name: Column) -> Column:
 
 def list_media(spark: SparkSession, path: str) -> DataFrame:
     """(path, filename, kind, length, modified): videos, then photos, by name; contents aren't read."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "length", F.col("modificationTime").alias("modified"))
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return media_listing(f.select("path", "length", F.col("modificationTime").alias("modified")))
+
+
+def media_listing(files: DataFrame) -> DataFrame:
+    """files (path, ...) with filename and kind: videos, then photos, by name; others are left out."""
+    f = files.withColumn("filename", F.regexp_extract("path", r"([^/]+)$", 1))
     return f.withColumn("kind", media_type(F.col("filename"))).where("kind <> 'other'").orderBy(F.desc("kind"), "filename")
 
 
+def first_number(name: Column) -> Column:
+    """The first number in a name, or 0."""
+    return F.coalesce(F.regexp_extract(name, r"(\d+)", 1).try_cast("long"), F.lit(0))
+
+
 def by_number(files: DataFrame) -> DataFrame:
     """Files in the order of the first number in their names."""
-    return files.orderBy(F.coalesce(F.regexp_extract("filename", r"(\d+)", 1).try_cast("long"), F.lit(0)), "filename")
+    return files.orderBy(first_number(F.col("filename")), "filename")

@@ -168,15 +168,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, into Parquet in the shared folder; with complete mode the last result counts."""
+    """Runs a stream over all that is there now, into Parquet in the shared folder; with complete mode the last result counts.
+
+    Each micro-batch has a folder of its own, which a batch that is tried again overwrites.
+    """
     spark, at = stream.sparkSession, shared_folder(stream.sparkSession)
 
     def put(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+        df.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={batch}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    return spark.read.schema(stream.schema).parquet(f"{at}/out").select(*stream.columns)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:

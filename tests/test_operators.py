@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.operators import edits, scene, segments, spatial
 from pointloom.plans.registry import table
+from pointloom.sources import manifests
 from pointloom.streaming import sessions
 
 
@@ -205,3 +206,26 @@ def test_session_steps():
         if out:
             got.append((out["n_frames"], out["phase"], out["export"]))
     assert got == [(1, "accumulating", False), (2, "accumulating", False), (3, "initializing", True), (4, "refining", False), (5, "refining", True), (1, "accumulating", False), (1, "accumulating", False)]
+
+
+def test_listing_order_and_numbers(spark):
+    files = spark.createDataFrame([(f"d/{n}",) for n in ("b10.JPG", "z.mp4", "b9.png", "a.MOV", "x.txt", "none.webp")], "path string")
+    got = manifests.media_listing(files)
+    assert [r["filename"] for r in got.collect()] == ["a.MOV", "z.mp4", "b10.JPG", "b9.png", "none.webp"]
+    assert [r["filename"] for r in manifests.by_number(got.where("kind = 'photo'")).collect()] == ["none.webp", "b9.png", "b10.JPG"]
+
+
+def test_state_over_several_batches(spark, sf, tmp_path):
+    """The same frames whether the messages come in one micro-batch or in five, through restarts of the stream."""
+    from pointloom.plans.streams import controls
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    lo, hi = events.agg({"event_id": "min"}).first()[0], events.agg({"event_id": "max"}).first()[0] + 1
+    cuts = [lo + (hi - lo) * i // 5 for i in range(6)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        events.where(f"event_id >= {a} and event_id < {b}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    one = sessions.drained(sessions.ingest(controls(sessions.event_stream(spark, sf))))
+    split = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    several = sessions.drained(sessions.ingest(controls(split)))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(one) == key(several) and len(several.inputFiles()) > 5
