@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import edits, pixels, scene
 from ..sources import colmap, manifests, ply
-from ..streaming.sessions import shared_folder
+from ..scratch import scratch_path
 from .registry import query
 from .scene import rounded
 
 
 def folder(df: DataFrame) -> str:
-    path = shared_folder(df.sparkSession).replace("/stream-", "/files-")
+    path = scratch_path(df.sparkSession, "files")
     fs, p = ply.filesystem(path)
     fs.create_dir(p, recursive=True)
     return path

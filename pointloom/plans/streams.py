@@ -1,4 +1,4 @@
-"""Queries that run streams over the events table to their end; SQL says what a batch would give."""
+"""Queries that replay the events table in several micro-batches to its end; SQL says what a batch would give."""
 
 from __future__ import annotations
 
@@ -14,13 +14,14 @@ from .registry import FIXTURES, QUERIES, SQL, duck
 def stream(name: str, sql: str | None = None, uses: tuple[str, ...] = ("v1",)):
     def put(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(sessions.event_stream(spark, sf_dir))
+            return f(sessions.replayed(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id"))
 
         QUERIES[name] = run
         if sql is not None:
             body = duck(sql.strip())
             ctes = ", ".join(f"{n} as ({duck(FIXTURES[n])})" for n in uses)
-            SQL[name] = f"with {ctes}, {body[5:]}" if body.startswith("with ") else f"with {ctes} {body}"
+            head = "with recursive " if body.startswith("with recursive ") else "with "
+            SQL[name] = f"{head}{ctes}, {body[len(head):]}" if body.startswith("with ") else f"with {ctes} {body}"
         return f
 
     return put
@@ -88,7 +89,19 @@ def t07(events):
     return last.select("project_id", F.size("u").cast("long").alias("n_users"), F.aggregate("u", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@stream("t08_segment_locks")
+#: A lock lasts until its owner ends it or leaves; the next one is the first start after that.
+@stream("t08_segment_locks", """
+with recursive ends as (select project_id, user_id, seq, segment_id from v1 where type = 'transform_end' and segment_id is not null
+  union all select project_id, user_id, seq, null from v1 where type = 'disconnect'),
+starts as (select s.project_id, s.segment_id, s.seq, s.user_id, min(e.seq) as until from v1 s
+  left join ends e on e.project_id = s.project_id and e.user_id = s.user_id and e.seq > s.seq and (e.segment_id is null or e.segment_id = s.segment_id)
+  where s.type = 'transform_start' and s.segment_id is not null group by all),
+steps as (select s.project_id, s.segment_id, s.seq, s.user_id, s.until, n.seq as next from starts s
+  asof left join starts n on n.project_id = s.project_id and n.segment_id = s.segment_id and n.seq > s.until),
+held as (select * from steps where seq = (select min(f.seq) from starts f where f.project_id = steps.project_id and f.segment_id = steps.segment_id)
+  union all select n.* from held h join steps n on n.project_id = h.project_id and n.segment_id = h.segment_id and n.seq = h.next)
+select project_id::bigint project_id, seq, 'locked' change, segment_id::bigint segment_id, user_id::bigint user_id from held
+union all select project_id, until, 'unlocked', segment_id, user_id from held where until is not null""")
 def t08(events):
     return sessions.drained(sessions.locks(messages(events)))
 

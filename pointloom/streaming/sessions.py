@@ -1,13 +1,13 @@
 """Structured Streaming operators over message streams, with pure state functions.
 
-Rows of one key within a micro-batch are sorted by seq before they meet the state.
-Idle sessions can leave by a processing-time timeout.
+Rows of one key within a micro-batch are sorted by seq before they meet the state, so
+a task holds at most a micro-batch's rows of a key: the trigger's size bounds it, not
+the length of the stream. Idle sessions can leave by a processing-time timeout.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,8 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..scratch import scratch_path
+
 START_FRAMES, EXPORT_EVERY = 3, 2
 IDLE_MS: int | None = None
+#: Rows of a file of a replayed stream.
+FILE_ROWS = 1_000_000
 
 
 def session_step(state: dict, kind: str, start: int = START_FRAMES, every: int = EXPORT_EVERY) -> tuple[dict, dict | None]:
@@ -162,17 +166,12 @@ def scene_versions(messages: DataFrame) -> DataFrame:
     return messages.groupBy("project_id").agg(F.count_if(F.col("type") == "transform_end").alias("version"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(conf or '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now, into Parquet in the shared folder; with complete mode the last result counts.
 
     Each micro-batch has a folder of its own, which a batch that is tried again overwrites.
     """
-    spark, at = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, at = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
 
     def put(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={batch}")
@@ -183,6 +182,29 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    """The rows of a given table as a stream."""
+    """The rows of a given table as a stream, in as few micro-batches as it has files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def replayed(rows: DataFrame, key: str, batches: int = 5, file_rows: int = FILE_ROWS) -> DataFrame:
+    """A stream that gives the rows in ascending ranges of a number, a micro-batch each.
+
+    Each range is written after the one before, so the source takes its files later. All have
+    the same number of files, about file_rows rows each, which is what one trigger takes.
+    """
+    spark, at = rows.sparkSession, scratch_path(rows.sparkSession, "replay")
+    n = rows.count()
+    parts = max(min(batches, n), 1)
+    ends = rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001) if n else []
+    files = max(n // parts // file_rows, 1)
+    edges = sorted(set(ends))
+    for i in range(len(edges) + 1):
+        part = rows
+        if i > 0:
+            part = part.where(F.col(key) > edges[i - 1])
+        if i < len(edges):
+            inside = F.col(key) <= edges[i]
+            part = part.where(inside if i else inside | F.col(key).isNull())
+        part.repartition(files).write.parquet(f"{at}/part={i:04d}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/part=*")
