@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions.scalar import logit, rgb_to_sh, sigmoid, to_log_scale
 
 AXES, SCALES = ("x", "y", "z"), ("scale_0", "scale_1", "scale_2")
 DELETED_OPACITY, DELETED_BELOW, MAX_REST = -100.0, -50.0, 45
+#: Rows of a column that an exact percentile is taken from at once.
+BRACKET_ROWS = 100_000
 
 
 def _active(df: DataFrame, exclude_deleted: bool) -> Column:
@@ -88,10 +92,55 @@ def bounds(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if("deleted").alias("n_deleted"), *out)
 
 
-def robust_bounds(df: DataFrame, margin: float = 0.5, low: float = 0.02, high: float = 0.98, exact: bool = True) -> DataFrame:
-    """Percentiles per axis, widened by a margin. exact=False: approximate, for very large scenes."""
-    f = (lambda a, q: F.percentile(a, F.lit(q))) if exact else (lambda a, q: F.percentile_approx(a, F.lit(q), F.lit(10000)))
-    return df.agg(*[(f(a, q) + sign * margin).alias(f"{n}_{a}") for a in AXES for n, q, sign in (("low", low, -1), ("high", high, 1))])
+def _between(c: str, lo: float | None, hi: float | None) -> Column:
+    """The column's value where it lies in the bracket, else null."""
+    return F.col(c) if lo is None else F.when((F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi)), F.col(c))
+
+
+def brackets(df: DataFrame, columns: tuple[str, ...], shares: tuple[float, ...], most: int = BRACKET_ROWS, accuracy: int = 10_000) -> dict[tuple[str, float], tuple]:
+    """(column, share) → (lo, hi, p): the percentile of the whole column is the percentile p of its values within [lo, hi].
+
+    Approximate percentiles enclose the rank, and counts prove it; brackets are narrowed until they hold at
+    most that many rows or one value. lo is None where the whole column is small enough. The driver gets some numbers a round.
+    """
+    total = dict(zip(columns, df.agg(*[F.count(c) for c in columns]).first(), strict=True))
+    found = {(c, q): (None, None, 0, total[c]) for c in columns for q in shares}
+    margin = dict.fromkeys(found, 2 / accuracy)
+    rank = {(c, q): q * max(total[c] - 1, 0) for c, q in found}
+    last: set[tuple[str, float]] = set()
+    while True:
+        wide = [key for key, (lo, hi, _, n) in found.items() if n > most and (lo is None or lo < hi) and key not in last]
+        if not wide:
+            break
+        around = []
+        for key in wide:
+            lo, hi, below, n = found[key]
+            p, m = (rank[key] - below) / (n - 1), margin[key]
+            around.append(F.percentile_approx(_between(key[0], lo, hi), [max(p - m, 0.0), min(p + m, 1.0)], accuracy))
+        ends = df.agg(*around).first()
+        counts = df.agg(*[x for (c, _), (lo, hi) in zip(wide, ends, strict=True) for x in (F.count_if(F.col(c) < F.lit(lo)), F.count(_between(c, lo, hi)))]).first()
+        for i, key in enumerate(wide):
+            below, n = counts[2 * i], counts[2 * i + 1]
+            encloses = below <= math.floor(rank[key]) and math.ceil(rank[key]) < below + n
+            if encloses and n < found[key][3]:
+                found[key] = (*ends[i], below, n)
+            elif encloses or margin[key] >= 1:
+                last.add(key)  # no narrower one: its ends are values of many rows
+            else:
+                margin[key] *= 8
+    return {key: (lo, hi, min(max((rank[key] - below) / (n - 1), 0.0), 1.0) if n > 1 else 0.5) for key, (lo, hi, below, n) in found.items()}
+
+
+def robust_bounds(df: DataFrame, margin: float = 0.5, low: float = 0.02, high: float = 0.98, exact: bool = True, most: int = BRACKET_ROWS) -> DataFrame:
+    """Percentiles per axis, widened by a margin. Exact ones are taken within brackets of at most about `most` rows;
+    exact=False: approximate ones in one pass."""
+    ends = [(n, a, q, sign) for a in AXES for n, q, sign in (("low", low, -1), ("high", high, 1))]
+    if exact:
+        at = brackets(df, AXES, (low, high), most)
+        f = lambda a, q: F.percentile(_between(a, *at[a, q][:2]), F.lit(at[a, q][2]))
+    else:
+        f = lambda a, q: F.percentile_approx(a, F.lit(q), F.lit(10000))
+    return df.agg(*[(f(a, q) + sign * margin).alias(f"{n}_{a}") for n, a, q, sign in ends])
 
 
 def statistics(df: DataFrame, exclude_deleted: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,33 @@ def test_state_over_several_batches(spark, sf, tmp_path):
     several = sessions.drained(sessions.ingest(controls(split)))
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(one) == key(several) and len(several.inputFiles()) > 5
+
+
+@pytest.mark.parametrize("most", [1, 50, 10_000])
+def test_exact_percentiles_by_brackets(spark, most):
+    """Narrowed brackets give the percentiles of all rows, with ties, nulls, two values only and outliers."""
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.normal()), float(rng.integers(0, 2)), None if i % 3 else float(i) ** 4) for i in range(4000)]
+    df = spark.createDataFrame(rows, "x double, y double, z double").repartition(4)
+    got = scene.robust_bounds(df, 0.0, most=most).first()
+    for j, axis in enumerate("xyz"):
+        known = [r[j] for r in rows if r[j] is not None]
+        assert got[f"low_{axis}"] == pytest.approx(np.quantile(known, 0.02))
+        assert got[f"high_{axis}"] == pytest.approx(np.quantile(known, 0.98))
+    none = scene.robust_bounds(df.limit(0), most=most).first()
+    assert none["low_x"] is None
+
+
+def test_nearest_with_far_outliers(spark):
+    """Each query finds its true neighbours, also from far outside a dense cloud and among equal points."""
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(6, 3)) * 5000, np.ones((9, 3))])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "gid long, x double, y double, z double")
+    for k in (1, 3):
+        got = {(r["gid"], r["rank"]): r["other"] for r in spatial.knn_join(df, df, k, exclude_self=True).collect()}
+        assert len(got) == k * len(at)
+        for i, p in enumerate(at):
+            near = sorted((float(((p - q) ** 2).sum()), j) for j, q in enumerate(at) if j != i)
+            for r in range(k):
+                j = got[i, r + 1]
+                assert ((p - at[j]) ** 2).sum() == pytest.approx(near[r][0], rel=1e-9) and (k > 1 or near[r][0] > 0 or j == near[r][1])
