@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir, written
+
 #: The characters that the contracts call space.
 SPACE = "\t\n\x0b\x0c\r "
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,28 +20,6 @@ _OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 BROADCAST_ROWS = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or our own where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        got = sc._jsc.sc().getCheckpointDir()
-        found = got.get() if got.isDefined() else None
-    if not found:
-        found = f"/tmp/checkpoints/pointloom-{uuid.uuid4().hex}"
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """What is run inside sends at most so many rows at once to Python: for rows that are large each."""
