@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import shared_dir, written
+from ..scratch import scratch_path, shared_dir, written
 
 #: The characters that the contracts call space.
 SPACE = "\t\n\x0b\x0c\r "

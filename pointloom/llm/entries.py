@@ -80,6 +80,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import merkle_digest
+
+    return merkle_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_digest
+
+    return warc_digest(table(spark, sf_dir, "pages"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -136,10 +154,58 @@ select d.doc_id, d.n as n_shingles, coalesce(l.component_id, d.doc_id) as compon
 from sized d left join class k on d.n = k.n and d.s = k.s left join label l on k.c = l.a
 """
 
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::varchar)::varchar || ':' || {name}::varchar, '-')"
+
+
+_UP = "list_transform(range(0, (len({0}) + 7) // 8), lambda i: sha256(array_to_string({0}[i * 8 + 1:i * 8 + 8], '')))"
+#: crc32 by its definition, as DuckDB has none: of up to 20 digits, each of 8 bits.
+_CRC = "list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint), lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(0, 8)), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end), 4294967295::bigint)"
+
+OP11_SQL = f"""
+with recursive langs as (select lang, row_number() over (order by lang nulls first) - 1 as g from (select distinct lang from documents)),
+docs as (select d.doc_id, l.g, d.text, {" || ".join(_field(f"d.{c}") for c in ("doc_id", "source", "lang", "n_chars"))} as head,
+  xor({_CRC.format("d.doc_id::varchar")}, 4294967295) % 3 = 0 as tampered from documents d join langs l on d.lang is not distinct from l.lang),
+leaves as (select *, sha256(head || {_field("text")}) as leaf,
+  sha256(head || case when tampered then {_field("(" + _LOWER.format("text") + ")")} else {_field("text")} end) as other from docs),
+tree(g, h, nodes) as (select g, 0, list(leaf order by doc_id) from leaves group by g
+  union all select g, h + 1, {_UP.format("nodes")} from tree where len(nodes) > 1),
+subroots as (select g, nodes[1] as subroot from tree where len(nodes) = 1),
+top(h, nodes) as (select 0, list(subroot order by g) from subroots
+  union all select h + 1, {_UP.format("nodes")} from top where len(nodes) > 1),
+placed as (select *, row_number() over (partition by g order by doc_id) - 1 as i from leaves),
+fold(doc_id, g, i, h, node, proof) as (select doc_id, g, i, 0, other, '' from placed
+  union all select f.doc_id, f.g, f.i // 8, f.h + 1,
+    sha256(array_to_string(t.nodes[f.i // 8 * 8 + 1:f.i], '') || f.node || array_to_string(t.nodes[f.i + 2:f.i // 8 * 8 + 8], '')),
+    f.proof || array_to_string(t.nodes[f.i // 8 * 8 + 1:f.i], '') || array_to_string(t.nodes[f.i + 2:f.i // 8 * 8 + 8], '')
+  from fold f join tree t on t.g = f.g and t.h = f.h and len(t.nodes) > 1),
+up(doc_id, i, h, node, proof) as (select doc_id, g, 0, node, proof from fold f where h = (select max(t.h) from tree t where t.g = f.g)
+  union all select f.doc_id, f.i // 8, f.h + 1,
+    sha256(array_to_string(t.nodes[f.i // 8 * 8 + 1:f.i], '') || f.node || array_to_string(t.nodes[f.i + 2:f.i // 8 * 8 + 8], '')),
+    f.proof || array_to_string(t.nodes[f.i // 8 * 8 + 1:f.i], '') || array_to_string(t.nodes[f.i + 2:f.i // 8 * 8 + 8], '')
+  from up f join top t on t.h = f.h and len(t.nodes) > 1),
+root as (select nodes[1] as root from top where len(nodes) = 1)
+select p.doc_id, p.leaf, s.subroot, r.root, sha256(u.proof) as proof_sha256, u.node as folded_root, u.node = r.root as verified
+from placed p join subroots s using (g) cross join root r join up u on u.doc_id = p.doc_id and u.h = (select max(h) from top)
+"""
+
+OP12_SQL = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+d as (select page_id, html, strlen(html) as payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, i // 4 * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1)), '') as payload_digest from p),
+m as (select *, max(page_id) over (partition by html) as last from d)
+select page_id, payload_bytes, payload_digest, case when page_id = last then 'response' else 'revisit' end as record_type,
+       case when page_id <> last then last end as refers_to from m
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_ngram_join, op4_packing, op5_line_dedup, op6_toxicity, op7_quality, op8_chat_formatting, op9_token_output, op10_substring_dedup)}
+    found = (
+        op1_exact_dedup, op2_decontaminate, op3_ngram_join, op4_packing, op5_line_dedup, op6_toxicity, op7_quality, op8_chat_formatting, op9_token_output, op10_substring_dedup,
+        op11_merkle_manifest, op12_warc, op13_whitening,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_ngram_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_ngram_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_chat_formatting": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op12_warc": OP12_SQL}
