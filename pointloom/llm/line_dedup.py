@@ -9,7 +9,8 @@ once, for the reassembly.
 Results in special cases: a null or empty text is one empty line and keeps it; a
 null doc_id counts as one document after all others; rows repeated with the same
 doc_id are one document for the counting and keep a row each; an empty table
-gives no rows; further columns stay as they are.
+gives no rows; a very long text is an array of lines in one row, and moves once; the name
+of the text column may be in any case, and further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -55,4 +56,4 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     between = F.transform(F.sequence(F.lit(1), F.size(ends_) - 1), lambda i: F.slice(lines_, F.col(ends_)[i - 1] + 2, F.col(ends_)[i] - F.col(ends_)[i - 1] - 1))
     kept = F.when(F.col(gone_).isNull(), text_of()).otherwise(F.array_join(F.flatten(between), "\n"))
     counts = [F.size(lines_).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped")]
-    return joined.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], *counts)
+    return joined.select(*[kept.alias(c) if c.lower() == "text" else F.col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], *counts)

@@ -65,14 +65,16 @@ def _set_of(shingles: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, k): the number of distinct shingles and the class of the set."""
+    """(doc_id, text_hash, n, k): the number of distinct shingles and the class of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [_set_of(s) for _, s in sequences(b.column(1), size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int64())], ["doc_id", "n", "k"])
+            cols = [b.column(0), b.column(2), pa.array([len(s) for s, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n", "k"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n long, k long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, k long")
 
 
 def _misses(n: int, percent: int) -> int:
@@ -316,8 +318,8 @@ def _opened(percent: int):
     return run
 
 
-def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row: the smallest doc_id reachable by links."""
+def components_of(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id for each row: the smallest doc_id reachable by links."""
     table = written(classes(docs, size), "classes")
     label = components(links(docs, table, size, percent))
     reps = table.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("rep"))
@@ -325,12 +327,22 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     named = named.join(least, "c", "left").select(F.col("k").alias("_k"), F.coalesce("component_id", "rep").alias("c"))
     full = table.join(named, F.when(F.col("n") > 0, F.col("k")) == F.col("_k"), "left")
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id"))
+    return full.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def ngram_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row: the smallest doc_id reachable by links."""
+    return components_of(docs, size, percent).drop("text_hash")
 
 
 def near_deduplicated(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of linked documents, with all columns: that with the smallest doc_id."""
-    (name,) = fresh(docs, "gone")
-    gone = ngram_join(docs, size, percent).where("n_shingles > 0 and not (doc_id <=> component_id)")
-    gone = written(gone.select(F.col("doc_id").alias(name)).distinct(), "gone")
-    return docs.join(small_side(gone), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
+    """One document of each group of linked documents, with all columns: that with the smallest doc_id.
+
+    A row goes by its doc_id and its text: other texts under the same id, null ids too, are not touched.
+    """
+    id_, hash_ = fresh(docs, "gone", "text")
+    gone = components_of(docs, size, percent).where("n_shingles > 0 and not (doc_id <=> component_id)")
+    gone = written(gone.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct(), "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_of()) == F.col(hash_))
+    return docs.join(small_side(gone), same, "left_anti")
