@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import camera_space, pinhole, sigmoid
-from .scene import AXES
+from ..scratch import written
+from .scene import AXES, median_of
 from .spatial import anchor_isolation
 
 NEAR, DEFAULT_IOU = 0.01, 0.8
@@ -73,8 +74,8 @@ def floaters(df: DataFrame, seen: DataFrame, anchors: DataFrame, least_ratio: fl
     """(gid, floater) from observations (view, gid): seldom seen or isolated, unless opaque; none before 50 views."""
     total = F.broadcast(seen.agg(F.countDistinct("view").alias("_total")))
     n = seen.groupBy("gid").agg(F.countDistinct("view").alias("_n"))
-    d = anchor_isolation(df, anchors)
-    mid = F.broadcast(d.agg(F.median("d").alias("_mid")))
+    d = written(anchor_isolation(df, anchors))
+    mid = F.broadcast(d.agg(median_of(d, "d").alias("_mid")))
     all_ = df.select("gid", "opacity").join(n, "gid", "left").join(d, "gid", "left").crossJoin(total).crossJoin(mid)
     rare = F.coalesce("_n", F.lit(0)) / F.greatest("_total", F.lit(1)) < least_ratio
     lone = F.coalesce(F.col("d") > far * F.col("_mid"), F.lit(False))

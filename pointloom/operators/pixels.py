@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import camera_space, pinhole, world_space
+from ..scratch import written
 from .camera import NEAR, pose, small
+from .scene import median_of
 
 
 def rows() -> tuple[Window, Window]:
@@ -108,10 +110,10 @@ def depth_pairs(px: DataFrame, cams: DataFrame, pairs: DataFrame, step: int = 4)
 
 def depth_consistency(met: DataFrame, threshold: float = 0.05) -> DataFrame:
     """From depth_pairs: share of consistent depths averaged over pairs, mean and median absolute error over all pixels."""
-    e = met.withColumn("e", F.abs(F.col("z") - F.col("depth")))
+    e = written(met.select("a", "b", "depth", F.abs(F.col("z") - F.col("depth")).alias("e")))
     per = e.groupBy("a", "b").agg(F.avg((F.col("e") / (F.col("depth") + 1e-6) < threshold).cast("double")).alias("ok"))
     one = per.agg(F.coalesce(F.avg("ok"), F.lit(0.0)).alias("pct_consistent"), F.count(F.lit(1)).alias("n_pairs"))
-    return one.crossJoin(e.agg(F.coalesce(F.avg("e"), F.lit(0.0)).alias("mean_abs_depth_error"), F.coalesce(F.median("e"), F.lit(0.0)).alias("median_abs_depth_error")))
+    return one.crossJoin(e.agg(F.coalesce(F.avg("e"), F.lit(0.0)).alias("mean_abs_depth_error"), F.coalesce(median_of(e, "e"), F.lit(0.0)).alias("median_abs_depth_error")))
 
 
 def edge_alignment(px: DataFrame, least: int = 100) -> DataFrame:

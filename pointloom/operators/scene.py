@@ -131,6 +131,12 @@ def brackets(df: DataFrame, columns: tuple[str, ...], shares: tuple[float, ...],
     return {key: (lo, hi, min(max((rank[key] - below) / (n - 1), 0.0), 1.0) if n > 1 else 0.5) for key, (lo, hi, below, n) in found.items()}
 
 
+def median_of(df: DataFrame, column: str) -> Column:
+    """The exact median of a column of df, as an aggregate: taken within a bracket of some rows, not of the whole column."""
+    lo, hi, p = brackets(df, (column,), (0.5,))[column, 0.5]
+    return F.percentile(_between(column, lo, hi), F.lit(p))
+
+
 def robust_bounds(df: DataFrame, margin: float = 0.5, low: float = 0.02, high: float = 0.98, exact: bool = True, most: int = BRACKET_ROWS) -> DataFrame:
     """Percentiles per axis, widened by a margin. Exact ones are taken within brackets of at most about `most` rows;
     exact=False: approximate ones in one pass."""

@@ -24,10 +24,10 @@ def d(a, b):
     return sum((p - q) ** 2 for p, q in zip(a[1:4], b[1:4])) ** 0.5
 
 
-@pytest.mark.parametrize("size", [0.02, 0.3, 5.0])
-def test_knn_is_exact_for_any_cell_size(spark, size):
+@pytest.mark.parametrize("capacity", [2, 30, None])
+def test_knn_is_exact_for_any_size_of_leaves(spark, capacity):
     df, rows = cloud(spark, 120)
-    got = {(r["gid"], r["rank"]): (round(r["d"], 9), r["other"]) for r in spatial.knn_join(df, df, 3, size, exclude_self=True).collect()}
+    got = {(r["gid"], r["rank"]): (round(r["d"], 9), r["other"]) for r in spatial.knn_join(df, df, 3, exclude_self=True, capacity=capacity).collect()}
     for a in rows:
         best = sorted((round(d(a, b), 9), b[0]) for b in rows if b[0] != a[0])[:3]
         assert [got[a[0], k][0] for k in (1, 2, 3)] == [x[0] for x in best]
@@ -252,8 +252,8 @@ def test_nearest_with_far_outliers(spark):
     rng = np.random.default_rng(6)
     at = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(6, 3)) * 5000, np.ones((9, 3))])
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "gid long, x double, y double, z double")
-    for k in (1, 3):
-        got = {(r["gid"], r["rank"]): r["other"] for r in spatial.knn_join(df, df, k, exclude_self=True).collect()}
+    for k, capacity in ((1, None), (3, None), (1, 20), (3, 7)):
+        got = {(r["gid"], r["rank"]): r["other"] for r in spatial.knn_join(df, df, k, exclude_self=True, capacity=capacity).collect()}
         assert len(got) == k * len(at)
         for i, p in enumerate(at):
             near = sorted((float(((p - q) ** 2).sum()), j) for j, q in enumerate(at) if j != i)
