@@ -98,16 +98,38 @@ def quaternion_of(m: dict[str, Column]) -> list[Column]:
 
 
 def palette(i: Column, chroma: float = 200.0, lift: int = 55) -> list[Column]:
-    """(r, g, b) of the i-th colour: hues a golden angle apart, lifted towards white."""
+    """(r, g, b) of the i-th colour: hues a golden angle apart, lifted towards white.
+
+    Each channel is the same ramp of the hue (in sixths of the circle), turned by a third of the circle.
+    """
     h = ((i * GOLDEN_ANGLE) % 360.0) / 60.0
-    high, middle, none = F.lit(int(chroma)), F.floor(chroma * (1.0 - F.abs(h % 2.0 - 1.0))).cast("int"), F.lit(0)
-    # Which of the three levels a channel has in each sixth of the circle.
-    red, green, blue = (high, middle, none, none, middle, high), (middle, high, high, middle, none, none), (none, none, middle, high, high, middle)
 
-    def channel(levels: tuple[Column, ...]) -> Column:
-        c = F.when(h < 1, levels[0])
-        for n in range(1, 5):
-            c = c.when(h < n + 1, levels[n])
-        return (c.otherwise(levels[5]) + lift).cast("int")
+    def channel(turn: int) -> Column:
+        k = (h + float(turn)) % 6.0
+        fall = F.greatest(F.lit(0.0), F.least(F.lit(1.0), k, 4.0 - k))
+        return (F.floor(F.round(chroma * (1.0 - fall), 9)).cast("int") + lift).cast("int")
+
+    return [channel(turn) for turn in (5, 3, 1)]
+
+
+def inverse(m: list[list[Column]]) -> list[list[Column]]:
+    """The inverse of a 4 x 4 matrix: cofactors over the determinant; null where it is singular.
+
+    The 2 x 2 minors of the upper and the lower two rows give both, so nothing is expanded twice.
+    """
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    minors = lambda a, b: {p: m[a][p[0]] * m[b][p[1]] - m[a][p[1]] * m[b][p[0]] for p in pairs}
+    upper, lower = minors(0, 1), minors(2, 3)
+    rest = lambda *gone: tuple(k for k in range(4) if k not in gone)
+    sign = {p: (-1) ** (p[0] + p[1] + 1) for p in pairs}
+    det = sum((upper[p] * lower[rest(*p)] * float(sign[p]) for p in pairs[1:]), upper[pairs[0]] * lower[rest(*pairs[0])] * float(sign[pairs[0]]))
+
+    def cofactor(i: int, j: int) -> Column:
+        """Of row i and column j: the other row of its half times the minors of the other half."""
+        other, half = i ^ 1, lower if i < 2 else upper
+        a, b, c = rest(j)
+        minor = m[other][a] * half[b, c] - m[other][b] * half[a, c] + m[other][c] * half[a, b]
+        return minor if (i + j) % 2 == 0 else -minor
 
-    return [channel(x) for x in (red, green, blue)]
+    known = F.when(det != 0, det)
+    return [[cofactor(j, i) / known for j in range(4)] for i in range(4)]

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.layout import write_scene
+from .scene import AXES
+
 MOST_EDITS, MOST_SNAPSHOTS = 50, 10
 
 
@@ -52,7 +55,7 @@ class Cursor:
 
 
 class Snapshots:
-    """Versions of a scene as Parquet folders under a path, with a table of them."""
+    """Versions of a scene as Parquet folders under a path, with a table of them. Scenes with positions are laid out for spatial queries."""
 
     SCHEMA = "id long, label string, path string, live boolean"
 
@@ -74,7 +77,10 @@ class Snapshots:
     def save(self, df: DataFrame, label: str) -> int:
         id_ = (self._index().agg(F.max("id")).first()[0] or 0) + 1
         where = f"{self.path}/{id_}-{uuid.uuid4().hex}"
-        df.write.parquet(where)
+        if set(AXES) <= set(df.columns):
+            write_scene(df, where)
+        else:
+            df.write.parquet(where)
         self._note(id_, label, where, True)
         return id_
 

@@ -15,7 +15,7 @@ DELETED_OPACITY, DELETED_BELOW, MAX_REST = -100.0, -50.0, 45
 BRACKET_ROWS = 100_000
 
 
-def _active(df: DataFrame, exclude_deleted: bool) -> Column:
+def active(df: DataFrame, exclude_deleted: bool) -> Column:
     return ~F.col("deleted") if exclude_deleted and "deleted" in df.columns else F.lit(True)
 
 
@@ -34,11 +34,11 @@ def in_sphere(center: tuple[float, ...], radius: float) -> Column:
 
 
 def query_box(df: DataFrame, low: tuple[float, ...], high: tuple[float, ...], exclude_deleted: bool = True) -> DataFrame:
-    return df.where(in_box(low, high) & _active(df, exclude_deleted))
+    return df.where(in_box(low, high) & active(df, exclude_deleted))
 
 
 def query_sphere(df: DataFrame, center: tuple[float, ...], radius: float, exclude_deleted: bool = True) -> DataFrame:
-    return df.where(in_sphere(center, radius) & _active(df, exclude_deleted))
+    return df.where(in_sphere(center, radius) & active(df, exclude_deleted))
 
 
 query_radius = query_sphere
@@ -151,7 +151,7 @@ def robust_bounds(df: DataFrame, margin: float = 0.5, low: float = 0.02, high: f
 
 def statistics(df: DataFrame, exclude_deleted: bool = False) -> DataFrame:
     """Quality statistics of a scene: two passes, the moments of the first broadcast to the second."""
-    df = df.where(_active(df, exclude_deleted))
+    df = df.where(active(df, exclude_deleted))
     p = df.withColumn("_p", sigmoid(F.col("opacity")))
     moments = [f(a).alias(f"{k}_{a}") for a in AXES for k, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]
     one = p.agg(

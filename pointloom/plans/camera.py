@@ -112,6 +112,20 @@ def a21(k1):
     return camera.mask_boxes(k1.where("(u*v) % 5 <> 0"))
 
 
+#: Camera-to-world matrices with shear and unequal scales, one a row of g1.
+SHEARED = [["2.0", "x", "0.0", "scale_0"], ["0.0", "1.0", "y", "scale_1"], ["0.0", "0.0", "1.0 + abs(z)", "scale_2"], ["0.0", "0.0", "0.0", "1.0"]]
+
+
+@query("x07_general", ("g1",), """
+with m as (select gid, x a, y b, 1.0+abs(z) s, scale_0 tx, scale_1 ty, scale_2 tz from g1), l as (select *, -a/2 i01, a*b/(2*s) i02, -b/s i12, 1/s i22 from m)
+select gid, round(0.5,6)::double i00, round(i01,6) i01, round(i02,6) i02, round(-(tx/2+i01*ty+i02*tz),6) i03, round(i12,6) i12, round(-(ty+i12*tz),6) i13, round(i22,6) i22, round(-i22*tz,6) i23, 1.0::double i33 from l""")
+def x07_general(g1):
+    """World-to-camera of matrices that aren't rigid."""
+    inv = X.inverse([[F.expr(e).cast("double") for e in row] for row in SHEARED])
+    cells = [(0, 0), (0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)]
+    return g1.select("gid", *[F.round(inv[i][j], 6).alias(f"i{i}{j}") for i, j in cells])
+
+
 @query("x07_camera_inverse", ("c1",), "select pos, round(-(r00*t0+r10*t1+r20*t2),6) i0, round(-(r01*t0+r11*t1+r21*t2),6) i1, round(-(r02*t0+r12*t1+r22*t2),6) i2, round(r10,6) r01 from c1")
 def x07(c1):
     zero = (F.lit(0.0), F.lit(0.0), F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import edits, pixels, scene
-from ..sources import colmap, manifests, ply
+from ..sources import colmap, layout, manifests, ply
 from ..scratch import scratch_path
 from .registry import query
 from .scene import rounded
@@ -25,6 +25,23 @@ def saved(g1: DataFrame) -> str:
     return path
 
 
+def laid_out(df: DataFrame) -> layout.Scene:
+    path = scratch_path(df.sparkSession, "scene")
+    layout.write_scene(df, path)
+    return layout.Scene(df.sparkSession, path)
+
+
+@query("f01_box_layout", ("g2",), "select gid, segment_id from g2 where x between 10 and 20 and y between 5 and 15 and z between 3 and 9 and not deleted")
+def f01(g2):
+    """The box query on a scene in Morton order: files, row groups and pages outside are skipped."""
+    return laid_out(g2).box((10.0, 5.0, 3.0), (20.0, 15.0, 9.0)).select("gid", "segment_id")
+
+
+@query("f02_sphere_layout", ("g2",), "select gid, segment_id from g2 where (x-25)*(x-25)+(y-20)*(y-20)+(z-6)*(z-6) <= 64 and not deleted")
+def f02(g2):
+    return laid_out(g2).sphere((25.0, 20.0, 6.0), 8.0).select("gid", "segment_id")
+
+
 @query("s01_ply_scan", ("g1",), "select gid, round(x::float::double,5) x, round(scale_0::float::double,5) scale_0, deleted from g1")
 def s01(g1):
     back = scene.mark_deleted(ply.read_ply(g1.sparkSession, saved(g1)))

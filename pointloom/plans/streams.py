@@ -60,12 +60,13 @@ def t03(events):
 @stream("t04_job_progress", "select user_id job_id, max(seq) seq, arg_max(type, seq) status, round(arg_max(pos_x, seq),6) progress from v1 group by 1")
 def t04(events):
     u = messages(events).select(F.col("user_id").alias("job_id"), "seq", F.col("type").alias("status"), F.col("pos_x").alias("progress"))
-    return sessions.drained(sessions.latest_state(u), "complete").withColumn("progress", F.round("progress", 6))
+    return sessions.merged(sessions.latest_state(u), ["job_id"]).withColumn("progress", F.round("progress", 6))
 
 
 @stream("t05_view_evidence", "select user_id gid, count(distinct segment_id) n_views from v1 group by 1")
 def t05(events):
-    return sessions.drained(sessions.evidence(messages(events).select(F.col("segment_id").alias("view"), F.col("user_id").alias("gid"))), "complete")
+    seen = messages(events).select(F.col("segment_id").alias("view"), F.col("user_id").alias("gid"))
+    return sessions.merged(sessions.evidence(seen), ["gid"])
 
 
 @stream("t06_training_telemetry", """
@@ -109,5 +110,6 @@ def t08(events):
 @stream("t09_cursors_and_versions", "with p as (select project_id, count(*) filter (where type = 'transform_end') as version from v1 group by 1) select v.project_id, user_id, round(arg_max(pos_x, seq) filter (where type = 'cursor_move'),6) as cursor, arg_max(segment_id, seq) filter (where type = 'select_segment') segment_id, any_value(version) as version from v1 v join p using (project_id) group by 1, 2")
 def t09(events):
     m = messages(events)
-    seen, versions = sessions.drained(sessions.last_seen(m), "complete"), sessions.drained(sessions.scene_versions(m), "complete")
+    seen = sessions.merged(sessions.last_seen(m), ["project_id", "user_id"])
+    versions = sessions.merged(sessions.scene_versions(m), ["project_id"])
     return seen.join(versions, "project_id").withColumn("cursor", F.round("cursor", 6))

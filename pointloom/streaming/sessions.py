@@ -1,26 +1,32 @@
-"""Structured Streaming operators over message streams, with pure state functions.
+"""Structured Streaming operators over message streams, with typed state.
 
-Rows of one key within a micro-batch are sorted by seq before they meet the state, so
-a task holds at most a micro-batch's rows of a key: the trigger's size bounds it, not
-the length of the stream. Idle sessions can leave by a processing-time timeout.
+Each key's state is values, lists and maps of their own in RocksDB (transformWithStateInPandas):
+a micro-batch reads and writes the entries that its rows touch. Rows of one key within a
+micro-batch are sorted by seq before they meet the state, so a task holds at most a
+micro-batch's rows of a key: the trigger's size bounds it, not the length of the stream.
+With an idle time, a key's state expires that long after it was last written.
+
+The functions *_step say for one message what the processors do for a batch of them.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..scratch import scratch_path
+from .upserts import UpsertTable
 
 START_FRAMES, EXPORT_EVERY = 3, 2
-IDLE_MS: int | None = None
 #: Rows of a file of a replayed stream.
 FILE_ROWS = 1_000_000
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def session_step(state: dict, kind: str, start: int = START_FRAMES, every: int = EXPORT_EVERY) -> tuple[dict, dict | None]:
@@ -71,78 +77,157 @@ def lock_step(locks: dict, user: int, kind: str, segment: int | None) -> tuple[d
     return locks, []
 
 
-def _stateful(df: DataFrame, key: str, schema: str, step: Callable[[dict, pd.DataFrame], tuple[dict, list[tuple]]]) -> DataFrame:
-    """step(state, rows sorted by seq) per key and micro-batch; the state is a JSON text.
-
-    With IDLE_MS set, a key without messages for so long is forgotten. Such a stream
-    has no end of its own, so runs over what is there now leave it unset.
-    """
+class Keyed(StatefulProcessor):
+    """Sorts a key's rows of a micro-batch by seq and hands them to step, which gives the columns of the output."""
+
+    def __init__(self, names: list[str], idle_ms: int | None = None):
+        self.names, self.idle_ms = names, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.states()
+
+    def value(self, name: str, schema: str):
+        return self.handle.getValueState(name, schema, self.idle_ms)
+
+    def entries(self, name: str, key: str, schema: str):
+        return self.handle.getMapState(name, key, schema, self.idle_ms)
+
+    def items(self, name: str, schema: str):
+        return self.handle.getListState(name, schema, self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = self.step(pd.concat(list(rows)).sort_values("seq", kind="stable"))
+        n = len(out[0])
+        # Texts as objects: Arrow takes pandas' own string columns in several chunks, which the stream doesn't.
+        cols = [*(np.full(n, k) for k in key), *(pd.Series(list(c) if isinstance(c, list) else c.tolist(), dtype=object) if getattr(c, "dtype", None) is None or c.dtype.kind in "UO" else c for c in out)]
+        yield pd.DataFrame(dict(zip(self.names, cols, strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+class Ingest(Keyed):
+    """session_step for all messages of a batch: frames are counted from the last start or stop on."""
+
+    def states(self) -> None:
+        self.n = self.value("frames", "n long")
+
+    def step(self, rows: pd.DataFrame) -> list:
+        kind = rows["kind"].to_numpy()
+        frame, cut = kind == "frame", (kind == "start") | (kind == "stop")
+        session, total = np.cumsum(cut), np.cumsum(frame)
+        before = np.zeros(session[-1] + 1, np.int64)  # frames before each session of this batch
+        before[1:] = total[cut]
+        before[0] = -(self.n.get()[0] if self.n.exists() else 0)
+        n = total - before[session]
+        if n[-1] or self.n.exists():
+            self.n.update((int(n[-1]),))
+        n = n[frame]
+        phase = np.where(n < START_FRAMES, "accumulating", np.where(n == START_FRAMES, "initializing", "refining"))
+        return [rows["seq"].to_numpy()[frame], n, phase, (n >= START_FRAMES) & ((n - START_FRAMES) % EXPORT_EVERY == 0)]
+
+
+class Telemetry(Keyed):
+    """telemetry_step for all steps of a batch."""
+
+    def __init__(self, names: list[str], window: int, factor: float = 1.5, patience: int = 3, idle_ms: int | None = None):
+        super().__init__(names, idle_ms)
+        self.window, self.factor, self.patience = window, factor, patience
+
+    def states(self) -> None:
+        self.losses = self.items("losses", "loss double")
+        self.seen = self.value("seen", "best double, bad int, stopped boolean")
+
+    def step(self, rows: pd.DataFrame) -> list:
+        w, half, n = self.window, self.window // 2, len(rows)
+        old = np.array([v[0] for v in self.losses.get()] if self.losses.exists() else [], float)
+        all_ = np.concatenate([old, rows["loss"].to_numpy(float)])
+        diverged = np.zeros(len(all_), bool)
+        if len(all_) >= w:
+            spans = np.lib.stride_tricks.sliding_window_view(all_, w)
+            late, early = spans[:, half:].sum(axis=1) / half, spans[:, :half].sum(axis=1) / half
+            diverged[w - 1 :] = np.round(late, 9) > np.round(self.factor * early, 9)
+        self.losses.put([(float(v),) for v in all_[-w:]])
+        best, bad, stopped = self.seen.get() if self.seen.exists() else (None, 0, False)
+        at = np.flatnonzero(rows["psnr"].notna().to_numpy())
+        p = rows["psnr"].to_numpy(float)[at]
+        top = np.maximum.accumulate(np.concatenate([[-np.inf if best is None else best], p]))
+        up = p > top[:-1]
+        last = np.maximum.accumulate(np.where(up, np.arange(len(p)), -1))
+        since = np.where(last >= 0, np.arange(len(p)) - last, bad + 1 + np.arange(len(p)))
+        stops = np.logical_or.accumulate(np.concatenate([[bool(stopped)], since >= self.patience]))
+        if len(p):
+            self.seen.update((float(top[-1]), int(since[-1]), bool(stops[-1])))
+        so_far = np.searchsorted(at, np.arange(n), side="right")  # evaluations up to each row
+        return [rows["seq"].to_numpy(), diverged[len(old) :], stops[so_far], pd.Series(top[so_far]).replace(-np.inf, np.nan).to_numpy()]
+
+
+class Presence(Keyed):
+    """presence_step for a batch: each user's last message decides; one row with all who are there."""
+
+    def states(self) -> None:
+        self.users = self.entries("users", "user long", "seq long")
+
+    def step(self, rows: pd.DataFrame) -> list:
+        last = rows.drop_duplicates("user_id", keep="last")
+        for user, kind, seq in zip(last["user_id"].tolist(), last["type"].tolist(), last["seq"].tolist(), strict=True):
+            if kind != "disconnect":
+                self.users.updateValue((user,), (seq,))
+            elif self.users.containsKey((user,)):
+                self.users.removeKey((user,))
+        return [[int(rows["seq"].iloc[-1])], [sorted(k[0] for k in self.users.keys())]]
+
+
+class Locks(Keyed):
+    """lock_step for each message that can change a lock; only entries that changed are written."""
+
+    def states(self) -> None:
+        self.held = self.entries("held", "segment long", "user long")
+
+    def step(self, rows: pd.DataFrame) -> list:
+        before = {k[0]: v[0] for k, v in self.held.iterator()}
+        now, out = dict(before), []
+        some = rows[rows["type"].isin(["transform_start", "transform_end", "disconnect"])]
+        for seq, user, kind, seg in zip(some["seq"].tolist(), some["user_id"].tolist(), some["type"].tolist(), some["segment_id"].tolist(), strict=True):
+            now, changes = lock_step(now, int(user), kind, None if pd.isna(seg) else int(seg))
+            out += [(seq, c, s, u) for c, s, u in changes]
+        for segment in before.keys() - now.keys():
+            self.held.removeKey((segment,))
+        for segment, user in now.items():
+            if before.get(segment) != user:
+                self.held.updateValue((segment,), (user,))
+        return [list(c) for c in zip(*out, strict=True)] or [[]] * 4
+
+
+def _stateful(df: DataFrame, keys: list[str], schema: str, processor: Callable[[list[str]], Keyed], mode: str = "append") -> DataFrame:
     names = [c.strip().split()[0] for c in schema.split(",")]
+    made = processor(names)
+    return df.groupBy(*keys).transformWithStateInPandas(made, schema, mode, "ProcessingTime" if made.idle_ms else "None")
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")  # a key's rows of one micro-batch
-        new, out = step(json.loads(state.get[0]) if state.exists else {}, rows)
-        state.update((json.dumps(new),))
-        if IDLE_MS:
-            state.setTimeoutDuration(IDLE_MS)
-        yield pd.DataFrame([(*k, *o) for o in out], columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if IDLE_MS else GroupStateTimeout.NoTimeout)
-
-
-def ingest(messages: DataFrame) -> DataFrame:
+def ingest(messages: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Frame ingest per project: (project_id, seq, n_frames, phase, export) for each frame. messages: project_id, seq, kind."""
+    schema = "project_id long, seq long, n_frames long, phase string, export boolean"
+    return _stateful(messages.select("project_id", "seq", "kind"), ["project_id"], schema, lambda names: Ingest(names, idle_ms))
 
-    def step(state: dict, rows: pd.DataFrame):
-        out = []
-        for seq, kind in zip(rows["seq"].tolist(), rows["kind"].tolist(), strict=True):
-            state, got = session_step(state, kind)
-            if got:
-                out.append((seq, got["n_frames"], got["phase"], got["export"]))
-        return state, out
-
-    return _stateful(messages.select("project_id", "seq", "kind"), "project_id", "project_id long, seq long, n_frames long, phase string, export boolean", step)
 
-
-def telemetry(log: DataFrame, window: int = 200) -> DataFrame:
+def telemetry(log: DataFrame, window: int = 200, idle_ms: int | None = None) -> DataFrame:
     """(run_id, seq, diverged, stop, best) for each step. log: run_id, seq, loss, psnr."""
-
-    def step(state: dict, rows: pd.DataFrame):
-        out = []
-        for seq, loss, psnr in rows[["seq", "loss", "psnr"]].itertuples(index=False):
-            state, got = telemetry_step(state, float(loss), None if pd.isna(psnr) else float(psnr), window)
-            out.append((int(seq), got["diverged"], got["stop"], got["best"]))
-        return state, out
-
-    return _stateful(log.select("run_id", "seq", "loss", "psnr"), "run_id", "run_id long, seq long, diverged boolean, stop boolean, best double", step)
+    schema = "run_id long, seq long, diverged boolean, stop boolean, best double"
+    return _stateful(log.select("run_id", "seq", "loss", "psnr"), ["run_id"], schema, lambda names: Telemetry(names, window, idle_ms=idle_ms))
 
 
-def presence(messages: DataFrame) -> DataFrame:
-    """(project_id, seq, users): who is in the room after each micro-batch."""
+def presence(messages: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(project_id, seq, users): who is in the room after each micro-batch. With an idle time, a user leaves that long after the last message."""
+    schema = "project_id long, seq long, users array<long>"
+    return _stateful(messages.select("project_id", "seq", "user_id", "type"), ["project_id"], schema, lambda names: Presence(names, idle_ms))
 
-    def step(state: dict, rows: pd.DataFrame):
-        users = state.get("users", [])
-        for user, kind in zip(rows["user_id"].tolist(), rows["type"].tolist(), strict=True):
-            users = presence_step(users, user, kind)
-        return {"users": users}, [(int(rows["seq"].iloc[-1]), users)]
 
-    return _stateful(messages.select("project_id", "seq", "user_id", "type"), "project_id", "project_id long, seq long, users array<long>", step)
-
-
-def locks(messages: DataFrame) -> DataFrame:
+def locks(messages: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(project_id, seq, change, segment_id, user_id): each lock taken or released."""
-
-    def step(state: dict, rows: pd.DataFrame):
-        held, out = {int(k): v for k, v in state.items()}, []
-        for seq, user, kind, seg in rows[["seq", "user_id", "type", "segment_id"]].itertuples(index=False):
-            held, changes = lock_step(held, int(user), kind, None if pd.isna(seg) else int(seg))
-            out += [(int(seq), c, s, u) for c, s, u in changes]
-        return {str(k): v for k, v in held.items()}, out
-
-    return _stateful(messages.select("project_id", "seq", "user_id", "type", "segment_id"), "project_id", "project_id long, seq long, change string, segment_id long, user_id long", step)
+    schema = "project_id long, seq long, change string, segment_id long, user_id long"
+    return _stateful(messages.select("project_id", "seq", "user_id", "type", "segment_id"), ["project_id"], schema, lambda names: Locks(names, idle_ms))
 
 
 def latest_state(updates: DataFrame) -> DataFrame:
@@ -166,21 +251,48 @@ def scene_versions(messages: DataFrame) -> DataFrame:
     return messages.groupBy("project_id").agg(F.count_if(F.col("type") == "transform_end").alias("version"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, into Parquet in the shared folder; with complete mode the last result counts.
+#: Settings of the streams that are run here. Without batches of no data, a run over what is there now ends,
+#: with idle times too: a state that has expired isn't seen by the next batch.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
-    Each micro-batch has a folder of its own, which a batch that is tried again overwrites.
-    """
-    spark, at = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
 
-    def put(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={batch}")
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """For streams started inside. A stream has a session of its own, so the settings can go back."""
+    before = {k: spark.conf.get(k) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
+
+def _run(stream: DataFrame, mode: str, put: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    with _settings(stream.sparkSession):
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
+
+
+def drained(stream: DataFrame, at: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now, into Parquet; with a folder of an earlier run it goes on from there.
+
+    Each micro-batch has a folder of its own, which a batch that is tried again overwrites.
+    """
+    spark, at = stream.sparkSession, at or scratch_path(stream.sparkSession, "stream")
+    _run(stream, "append", lambda df, batch: df.write.mode("overwrite").parquet(f"{at}/out/batch={batch}"), f"{at}/state")
     return spark.read.schema(stream.schema).parquet(f"{at}/out").select(*stream.columns)
 
 
+def merged(stream: DataFrame, keys: list[str], at: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Runs a stream in update mode over all that is there now: each micro-batch's changed keys are merged into a table."""
+    spark, at = stream.sparkSession, at or scratch_path(stream.sparkSession, "upserts")
+    table = UpsertTable(spark, f"{at}/table", stream.schema, keys, *([buckets] if buckets else []))
+    _run(stream, "update", table.merge, f"{at}/state")
+    return table.rows()
+
+
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """The rows of a given table as a stream, in as few micro-batches as it has files."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -188,23 +300,17 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> Data
 
 
 def replayed(rows: DataFrame, key: str, batches: int = 5, file_rows: int = FILE_ROWS) -> DataFrame:
-    """A stream that gives the rows in ascending ranges of a number, a micro-batch each.
+    """A stream that gives the rows in ascending ranges of a number, in about so many micro-batches.
 
-    Each range is written after the one before, so the source takes its files later. All have
-    the same number of files, about file_rows rows each, which is what one trigger takes.
+    Each file is one range of the key. The files' times are set in that order, as the source takes the oldest
+    first; so the folder must be of a file system that keeps the times it is told.
     """
     spark, at = rows.sparkSession, scratch_path(rows.sparkSession, "replay")
-    n = rows.count()
-    parts = max(min(batches, n), 1)
-    ends = rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001) if n else []
-    files = max(n // parts // file_rows, 1)
-    edges = sorted(set(ends))
-    for i in range(len(edges) + 1):
-        part = rows
-        if i > 0:
-            part = part.where(F.col(key) > edges[i - 1])
-        if i < len(edges):
-            inside = F.col(key) <= edges[i]
-            part = part.where(inside if i else inside | F.col(key).isNull())
-        part.repartition(files).write.parquet(f"{at}/part={i:04d}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/part=*")
+    files = max(rows.count() // batches // file_rows, 1)  # of a micro-batch
+    rows.repartitionByRange(batches * files, F.col(key).asc_nulls_first()).write.parquet(at)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(folder))
+    for i, name in enumerate(n for n in names if n.startswith("part-")):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{name}"), 1_000_000_000_000 + 60_000 * i, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(at)
