@@ -7,12 +7,15 @@ number and joined otherwise by Spark's own choice.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import camera_space, pinhole, sigmoid
 from ..scratch import written
+from .leaves import Leaves, leaves_of, sound, with_leaf
 from .scene import AXES, median_of
 from .spatial import anchor_isolation
 
@@ -31,20 +34,79 @@ def pose(prefix: str = "") -> tuple[dict[str, Column], tuple[Column, Column, Col
 def project(df: DataFrame, cams: DataFrame, resolution: float | None = None, focal: float | None = None) -> DataFrame:
     """Adds the camera's columns and u, v, depth for each (row, camera) in which the row is seen.
 
-    With resolution and focal all cameras share intrinsics; else each has its own.
+    With resolution and focal all cameras share intrinsics; else each has its own. Every row meets every camera:
+    for many cameras see project_culled.
     """
-    d = df.crossJoin(small(cams))
+    return _seen(df.crossJoin(small(cams)), resolution, focal)
+
+
+def _intrinsics(resolution: float | None, focal: float | None) -> tuple[Column, ...]:
+    """(fx, fy, cx, cy, width, height)"""
+    if resolution is None:
+        return tuple(F.col(c) for c in ("fx", "fy", "cx", "cy", "width", "height"))
+    return tuple(F.lit(x) for x in (focal, focal, resolution / 2, resolution / 2, resolution, resolution))
+
+
+def _seen(met: DataFrame, resolution: float | None, focal: float | None) -> DataFrame:
     xc, yc, zc = camera_space(tuple(F.col(a) for a in AXES), *pose())
-    d = d.withColumns({"_x": xc, "_y": yc, "depth": zc}).where(F.col("depth") > NEAR)
-    if resolution is not None:
-        half = F.lit(resolution / 2)
-        u, v, w, h = *pinhole(F.col("_x"), F.col("_y"), F.col("depth"), F.lit(focal), F.lit(focal), half, half), F.lit(resolution), F.lit(resolution)
-    else:
-        u, v = pinhole(F.col("_x"), F.col("_y"), F.col("depth"), *[F.col(c) for c in ("fx", "fy", "cx", "cy")])
-        w, h = F.col("width"), F.col("height")
+    d = met.withColumns({"_x": xc, "_y": yc, "depth": zc}).where(F.col("depth") > NEAR)
+    fx, fy, cx, cy, w, h = _intrinsics(resolution, focal)
+    u, v = pinhole(F.col("_x"), F.col("_y"), F.col("depth"), fx, fy, cx, cy)
     return d.withColumns({"u": u, "v": v}).where((F.col("u") >= 0) & (F.col("u") < w) & (F.col("v") >= 0) & (F.col("v") < h)).drop("_x", "_y")
 
 
+#: Rows of a leaf for culling: small, so that leaves follow the frustum's sides.
+CULL_ROWS = 256
+
+
+def leaves_in_view(cams: DataFrame, leaves: Leaves, resolution: float | None = None, focal: float | None = None) -> DataFrame:
+    """The cameras' columns with each leaf that may hold a seen row. A leaf whose box is wholly behind a side of the frustum is left out."""
+    spark, names = cams.sparkSession, cams.columns
+    at = spark.sparkContext.broadcast(leaves)
+    own = [f"{p}{i}" for p, i in [*(("r", f"{i}{j}") for i in range(3) for j in range(3)), *(("t", i) for i in range(3))]]
+    intr = dict(zip(("_fx", "_fy", "_cx", "_cy", "_w", "_h"), _intrinsics(resolution, focal), strict=True))
+    sides_of = list(intr)
+
+    def run(batches):
+        box = at.value.boxes
+        corners = np.stack([box[:, [i, j, k], [0, 1, 2]] for i in (0, 1) for j in (0, 1) for k in (0, 1)], axis=1)  # leaf, corner, axis
+        for b in batches:
+            col = {n: b.column(i).to_numpy(zero_copy_only=False).astype(float) for i, n in enumerate(b.schema.names) if n in own or n in sides_of}
+            rows, found = [], []
+            for c in range(b.num_rows):
+                turn = np.array([[col[f"r{i}{j}"][c] for j in range(3)] for i in range(3)])
+                p = (corners - np.array([col[f"t{i}"][c] for i in range(3)])) @ turn
+                x, y, z = p[..., 0], p[..., 1], p[..., 2]
+                fx, fy, cx, cy, w, h = (col[n][c] for n in sides_of)
+                # Where a corner is inside of a side, the box may reach in; the sides are planes through the camera.
+                sides = (z - NEAR, fx * x + cx * z, (w - cx) * z - fx * x, fy * y + cy * z, (h - cy) * z - fy * y)
+                room = 1e-9 * (1.0 + np.abs(p).sum(axis=2).max(axis=1))
+                ok = np.ones(len(box), bool)
+                for side in sides:
+                    ok &= side.max(axis=1) >= -room * max(1.0, abs(fx), abs(fy), abs(w), abs(h))
+                hit = np.flatnonzero(ok)
+                rows.append(np.full(len(hit), c))
+                found.append(hit)
+            if rows:
+                out = b.select(names).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(found).astype(np.int64))], [*names, "leaf"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in cams.dtypes)
+    return cams.withColumns(intr).mapInArrow(run, f"{kinds}, leaf long")
+
+
+def project_culled(df: DataFrame, cams: DataFrame, resolution: float | None = None, focal: float | None = None, capacity: int = CULL_ROWS) -> DataFrame:
+    """What project gives, for many cameras: a row meets the cameras whose frustum touches the leaf that it lies in."""
+    rows = written(sound(df), "points")
+    return _seen(met_leaves(rows, cams, resolution, focal, capacity), resolution, focal)
+
+
+def met_leaves(rows: DataFrame, cams: DataFrame, resolution: float | None = None, focal: float | None = None, capacity: int = CULL_ROWS) -> DataFrame:
+    """The rows (a written table) with the columns of each camera that their leaf may be seen by."""
+    leaves = leaves_of(rows, capacity)
+    return with_leaf(rows, leaves).join(leaves_in_view(cams, leaves, resolution, focal), "leaf").drop("leaf")
+
+
 def mask_hits(seen: DataFrame, masks: DataFrame, width: int, height: int) -> DataFrame:
     """Projected rows with the masks they fall into: an equi-join on (pos, pixel)."""
     at = seen.withColumns({"ui": F.least(F.floor("u"), F.lit(width - 1)).cast("int"), "vi": F.least(F.floor("v"), F.lit(height - 1)).cast("int")})

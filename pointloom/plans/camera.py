@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
-from ..operators import camera, pixels, scene
+from ..operators import camera, masks, pixels, scene
 from .registry import query
 from .scene import SIG, rounded
 
@@ -39,6 +39,25 @@ def j08(g1, c1, k1):
     return camera.mask_hits(camera.project(g1.select("gid", "x", "y", "z"), c1.drop("frame"), RES, FOCAL).select("gid", "pos", "u", "v"), k1, 64, 64).select("gid", "pos", "mask_id")
 
 
+@query("j08_runs", ("g1", "c1", "k1"), f"with {SEEN} select s.gid, s.pos, mask_id from seen s join k1 k on k.pos = s.pos and k.u = floor(s.u) and k.v = floor(s.v) where (k.u+k.v) % (mask_id+2) <> 0")
+def j08_runs(g1, c1, k1):
+    """The same from run lengths: an interval join on image rows."""
+    lists = masks.row_lists(masks.mask_runs(k1.where("(u+v) % (mask_id+2) <> 0")))
+    seen = camera.project(g1.select("gid", "x", "y", "z"), c1.drop("frame"), RES, FOCAL).select("gid", "pos", "u", "v")
+    return masks.run_hits(seen, lists, 64, 64).select("gid", "pos", "mask_id")
+
+
+@query("a21_boxes_from_runs", ("k1",), "select pos, mask_id, count(*) area, min(u) x, min(v) y, max(u)-min(u)+1 w, max(v)-min(v)+1 h from k1 where (u*v) % 5 <> 0 group by 1, 2")
+def a21_runs(k1):
+    return masks.run_boxes(masks.mask_runs(k1.where("(u*v) % 5 <> 0")))
+
+
+@query("j07_all_cameras", ("g1", "c2"), f"with {SEEN.replace('c1', 'c2')} select pos, count(*) n, round(sum(u),4) su, round(sum(zc),4) sz from seen group by pos")
+def j07_all(g1, c2):
+    """A camera for each supplier; leaves that a frustum doesn't touch aren't looked at."""
+    return camera.project_culled(g1, c2).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("u"), 4).alias("su"), F.round(F.sum("depth"), 4).alias("sz"))
+
+
 @query("a07_multi_view_vote", ("g1", "c1", "k1"), f"""
 with {SEEN}, votes as (select s.gid, mask_id, round(sum({IOU}),9) votes from seen s join k1 k on k.pos = s.pos and k.u = floor(s.u) and k.v = floor(s.v) group by 1, 2),
 best as (select gid, arg_max(mask_id, (votes, -mask_id)) s, max(votes) votes from votes group by gid)

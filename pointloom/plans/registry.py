@@ -21,6 +21,7 @@ FIXTURES = {
     + ", label segment_id, vec_id % 11 = 0 deleted from embeddings",
     "g2": "select ((l_orderkey*100000+l_partkey)*10000+l_suppkey)*10+l_linenumber gid, cast(l_quantity as double) x, cast(l_extendedprice as double)/2000.0D y, cast(l_discount+l_tax as double)*100.0D z, (cast(l_discount as double)-0.05D)*100.0D opacity, cast(l_suppkey % 10 as int) segment_id, l_linenumber=7 deleted from lineitem",
     "c1": "select cast(i as int) pos, concat('frame_0000',i,'.jpg') frame, sin(th) r00, 0.0D r01, -cos(th) r02, 0.0D r10, -1.0D r11, 0.0D r12, -cos(th) r20, 0.0D r21, -sin(th) r22, 2.0D*cos(th) t0, 0.0D t1, 2.0D*sin(th) t2, 54.4D fx, 54.4D fy, 32.0D cx, 32.0D cy, 64 width, 64 height from (select s_suppkey i, 2.0D*pi()*s_suppkey/8.0D th from supplier where s_suppkey<8) q",
+    "c2": "select cast(i as int) pos, concat('frame_',cast(i as varchar(9)),'.jpg') frame, sin(th) r00, 0.0D r01, -cos(th) r02, 0.0D r10, -1.0D r11, 0.0D r12, -cos(th) r20, 0.0D r21, -sin(th) r22, 2.0D*cos(th) t0, 0.0D t1, 2.0D*sin(th) t2, 54.4D fx, 54.4D fy, 32.0D cx, 32.0D cy, 64 width, 64 height from (select s_suppkey i, cast(s_suppkey as double)*0.618D th from supplier) q",
     "k1": "select c.pos, c.frame, cast(m.s_suppkey as int) mask_id, cast(u.p_partkey as int) u, cast(v.p_partkey as int) v from c1 c, supplier m, part u, part v where m.s_suppkey<8 and u.p_partkey<64 and v.p_partkey<64 and floor(u.p_partkey/16)+4*floor(v.p_partkey/32)=m.s_suppkey",
     "d1": "select view, u, v, base r, ((u+view)%5)/4.0D g, (v%7)/6.0D b, least(1.0D,greatest(0.0D,base+(((u*v+view)%3)-1)*0.02D)) gt_r, ((u+view)%5)/4.0D gt_g, (v%7)/6.0D gt_b, 1.5D+((u*5+v*11+view*2)%13)/13.0D depth, ((u+v+view)%10)/9.0D alpha from (select cast(w.s_suppkey as int) view, cast(a.p_partkey as int) u, cast(b.p_partkey as int) v, ((a.p_partkey*7+b.p_partkey*13+w.s_suppkey*3)%17)/17.0D base from supplier w, part a, part b where w.s_suppkey<8 and a.p_partkey<32 and b.p_partkey<32) q",
     "f1": "select event_id idx, concat('frame_',lpad(cast(event_id as varchar(9)),5,'0'),'.jpg') filename, concat('u',cast(user_id%7 as varchar(9)),'.mp4') source_file, cast(value as double) sharpness from events",

@@ -177,6 +177,12 @@ def j02(g1):
     return rounded(spatial.nn_distance(g1).select("gid", "d"), "d")
 
 
+@query("j02_large_cloud", ("g2",))
+def j02_large(g2):
+    """The self-nearest distances of a cloud that grows with lineitem."""
+    return rounded(spatial.nn_distance(g2).select("gid", "d"), "d")
+
+
 KNN3 = "(select gid, avg(d) d from (select a.gid, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) d, row_number() over (partition by a.gid order by (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2, b.gid) r from g1 a join g1 b on a.gid <> b.gid and (a.x<>b.x or a.y<>b.y or a.z<>b.z)) where r <= 3 group by gid)"
 
 

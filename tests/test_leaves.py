@@ -73,3 +73,17 @@ def test_morton_keys(spark):
     want = [sum(((c >> b) & 1) << (3 * b + 2 - i) for i, c in enumerate(cs) for b in range(2)) for cs in cells]
     assert [r["k"] for r in df.collect()] == want
     assert spark.range(1).select(morton.cell(morton.F.lit(5.0), 5.0, 5.0), morton.cell(morton.F.lit(6.0), 5.0, 5.0)).first()[:] == (0, (1 << 21) - 1)
+
+
+def test_the_large_cloud_query_against_brute_force(spark, sf):
+    from pointloom.plans import QUERIES
+    from pointloom.plans.registry import table as given
+
+    rows = given(spark, sf, "g2").select("gid", "x", "y", "z").collect()
+    p = np.array([r[1:] for r in rows])
+    got = {r["gid"]: r["d"] for r in QUERIES["j02_large_cloud"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    for i in range(0, len(rows), 50):
+        d = np.sqrt(((p - p[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert got[rows[i]["gid"]] == pytest.approx(d.min(), abs=2e-6)
