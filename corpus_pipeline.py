@@ -47,7 +47,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id.
 
     Null and empty texts are in no group and stay; a null doc_id goes if its group has an id, else it stays; all
-    rows with the smallest doc_id stay, repeated ones too.
+    rows with the smallest doc_id stay, repeated ones too. A row goes by its id and its text: another text under
+    the same id, null or not, stays.
     """
     return near_deduplicated(docs)
 
