@@ -84,14 +84,6 @@ def sequences(texts: pa.Array, size: int = 0) -> Iterator[tuple[np.ndarray, np.n
         i = j
 
 
-def repeated_sequences(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """The shingles of each text in order; equal texts are hashed once. For columns where few texts stand often."""
-    coded = texts.dictionary_encode()
-    made = [seq for _, seq in sequences(coded.dictionary, size)]
-    for i in coded.indices.to_numpy(zero_copy_only=False).tolist():
-        yield made[i]
-
-
 def hashed(text: str) -> np.ndarray:
     """The word hashes of one text."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
