@@ -55,6 +55,20 @@ def _seen(met: DataFrame, resolution: float | None, focal: float | None) -> Data
     return d.withColumns({"u": u, "v": v}).where((F.col("u") >= 0) & (F.col("u") < w) & (F.col("v") >= 0) & (F.col("v") < h)).drop("_x", "_y")
 
 
+def _reached(boxes: np.ndarray, turn: np.ndarray, place: np.ndarray, fx: float, fy: float, cx: float, cy: float, w: float, h: float) -> np.ndarray:
+    """Whether each box (leaf, least and greatest, axis) may hold what a camera sees."""
+    corners = np.stack([boxes[:, [i, j, k], [0, 1, 2]] for i in (0, 1) for j in (0, 1) for k in (0, 1)], axis=1)  # leaf, corner, axis
+    p = (corners - place) @ turn
+    x, y, z = p[..., 0], p[..., 1], p[..., 2]
+    # Where a corner is inside of a side, the box may reach in; the sides are planes through the camera.
+    sides = (z - NEAR, fx * x + cx * z, (w - cx) * z - fx * x, fy * y + cy * z, (h - cy) * z - fy * y)
+    room = 1e-9 * (1.0 + np.abs(p).sum(axis=2).max(axis=1))
+    ok = np.ones(len(boxes), bool)
+    for side in sides:
+        ok &= side.max(axis=1) >= -room * max(1.0, abs(fx), abs(fy), abs(w), abs(h))
+    return ok
+
+
 #: Rows of a leaf for culling: small, so that leaves follow the frustum's sides.
 CULL_ROWS = 256
 
@@ -68,22 +82,13 @@ def leaves_in_view(cams: DataFrame, leaves: Leaves, resolution: float | None = N
     sides_of = list(intr)
 
     def run(batches):
-        box = at.value.boxes
-        corners = np.stack([box[:, [i, j, k], [0, 1, 2]] for i in (0, 1) for j in (0, 1) for k in (0, 1)], axis=1)  # leaf, corner, axis
         for b in batches:
             col = {n: b.column(i).to_numpy(zero_copy_only=False).astype(float) for i, n in enumerate(b.schema.names) if n in own or n in sides_of}
             rows, found = [], []
             for c in range(b.num_rows):
                 turn = np.array([[col[f"r{i}{j}"][c] for j in range(3)] for i in range(3)])
-                p = (corners - np.array([col[f"t{i}"][c] for i in range(3)])) @ turn
-                x, y, z = p[..., 0], p[..., 1], p[..., 2]
-                fx, fy, cx, cy, w, h = (col[n][c] for n in sides_of)
-                # Where a corner is inside of a side, the box may reach in; the sides are planes through the camera.
-                sides = (z - NEAR, fx * x + cx * z, (w - cx) * z - fx * x, fy * y + cy * z, (h - cy) * z - fy * y)
-                room = 1e-9 * (1.0 + np.abs(p).sum(axis=2).max(axis=1))
-                ok = np.ones(len(box), bool)
-                for side in sides:
-                    ok &= side.max(axis=1) >= -room * max(1.0, abs(fx), abs(fy), abs(w), abs(h))
+                place = np.array([col[f"t{i}"][c] for i in range(3)])
+                ok = _reached(at.value.boxes, turn, place, *(col[n][c] for n in sides_of))
                 hit = np.flatnonzero(ok)
                 rows.append(np.full(len(hit), c))
                 found.append(hit)
@@ -107,6 +112,74 @@ def met_leaves(rows: DataFrame, cams: DataFrame, resolution: float | None = None
     return with_leaf(rows, leaves).join(leaves_in_view(cams, leaves, resolution, focal), "leaf").drop("leaf")
 
 
+#: Rows and cameras of a block, cameras met at once, and blocks of a partition.
+BLOCK_ROWS, BLOCK_CAMERAS, CAMERAS_AT_ONCE, BLOCKS = 4096, 1024, 8, 4
+_POSE = [*[f"r{i}{j}" for i in range(3) for j in range(3)], "t0", "t1", "t2"]
+_SIZE = ["_fx", "_fy", "_cx", "_cy", "_w", "_h"]
+
+
+def _blocks(df: DataFrame, size: int) -> DataFrame:
+    """df (of numbers) in blocks of at most so many rows that follow each other, a list for each column."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                cols = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([c])) for c in part.columns]
+                yield pa.RecordBatch.from_arrays(cols, part.schema.names)
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` array<{t}>" for c, t in df.dtypes))
+
+
+def _sums(points: np.ndarray, cams: np.ndarray) -> np.ndarray:
+    """(camera, [n, sum of u, sum of depth]) of the points (axis, n) that each camera (pose and size, n) sees."""
+    out = np.zeros((cams.shape[1], 3))
+    box = np.stack([points.min(axis=1), points.max(axis=1)])[None]
+    reached = [c for c in range(cams.shape[1]) if _reached(box, cams[:9, c].reshape(3, 3), cams[9:12, c], *cams[12:, c])[0]]
+    for at in range(0, len(reached), CAMERAS_AT_ONCE):
+        some = reached[at : at + CAMERAS_AT_ONCE]
+        col = cams[:, some, None]
+        r, t, (fx, fy, cx, cy, w, h) = col[:9], col[9:12], col[12:]
+        d = [points[i] - t[i] for i in range(3)]
+        x, y, z = (r[j] * d[0] + r[3 + j] * d[1] + r[6 + j] * d[2] for j in range(3))
+        u, v = fx * x / z + cx, fy * y / z + cy
+        ok = (z > NEAR) & (u >= 0) & (u < w) & (v >= 0) & (v < h)
+        out[some] = np.stack([ok.sum(axis=1), np.where(ok, u, 0.0).sum(axis=1), np.where(ok, z, 0.0).sum(axis=1)], axis=1)
+    return out
+
+
+def view_sums(df: DataFrame, cams: DataFrame, resolution: float | None = None, focal: float | None = None) -> DataFrame:
+    """(pos, n, u, depth): how many rows each camera sees, and the sums of their u and depth; none for a camera that sees none.
+
+    Every pair of a row and a camera is computed, but none becomes a row: blocks of rows near each other meet blocks of
+    cameras, and what a frustum doesn't touch is left out. So the time goes with the pairs, memory and disk with the tables.
+    """
+    rows = written(sound(df.select(*[F.col(a).cast("double").alias(a) for a in AXES])), "points")
+    leaves = leaves_of(rows, BLOCK_ROWS)
+    parts = lambda n, size: max(1, -(-n // (size * BLOCKS)))
+    n, placed = int(leaves.counts.sum()), with_leaf(rows, leaves)
+    points = written(_blocks(placed.repartitionByRange(parts(n, BLOCK_ROWS), "leaf").sortWithinPartitions("leaf").select(*AXES), BLOCK_ROWS), "blocks")
+    intr = dict(zip(_SIZE, [c.cast("double") for c in _intrinsics(resolution, focal)], strict=True))
+    poses = cams.withColumns(intr).select("pos", *[F.col(c).cast("double").alias(c) for c in _POSE], *_SIZE)
+    views = written(_blocks(poses, BLOCK_CAMERAS), "cameras")
+    met = points.repartition(parts(n, BLOCK_ROWS)).hint("shuffle_replicate_nl").crossJoin(views.repartition(parts(cams.count(), BLOCK_CAMERAS)))
+
+    def run(batches):
+        for b in batches:
+            lists = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+            for i in range(b.num_rows):
+                of = {c: lists[c][i].values for c in lists}
+                numbers = lambda names: np.stack([of[c].to_numpy(zero_copy_only=False).astype(float) for c in names])  # noqa: B023, E731
+                with np.errstate(all="ignore"):
+                    out = _sums(numbers(AXES), numbers([*_POSE, *_SIZE]))
+                hit = np.flatnonzero(out[:, 0] > 0)
+                cols = [of["pos"].take(pa.array(hit)), pa.array(out[hit, 0].astype(np.int64)), pa.array(out[hit, 1]), pa.array(out[hit, 2])]
+                yield pa.RecordBatch.from_arrays(cols, ["pos", "n", "u", "depth"])
+
+    kind = dict(cams.dtypes)["pos"]
+    return met.mapInArrow(run, f"pos {kind}, n long, u double, depth double").groupBy("pos").agg(*[F.sum(c).alias(c) for c in ("n", "u", "depth")])
+
+
 def mask_hits(seen: DataFrame, masks: DataFrame, width: int, height: int) -> DataFrame:
     """Projected rows with the masks they fall into: an equi-join on (pos, pixel)."""
     at = seen.withColumns({"ui": F.least(F.floor("u"), F.lit(width - 1)).cast("int"), "vi": F.least(F.floor("v"), F.lit(height - 1)).cast("int")})

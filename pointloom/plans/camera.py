@@ -54,8 +54,8 @@ def a21_runs(k1):
 
 @query("j07_all_cameras", ("g1", "c2"), f"with {SEEN.replace('c1', 'c2')} select pos, count(*) n, round(sum(u),4) su, round(sum(zc),4) sz from seen group by pos")
 def j07_all(g1, c2):
-    """A camera for each supplier; leaves that a frustum doesn't touch aren't looked at."""
-    return camera.project_culled(g1, c2).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("u"), 4).alias("su"), F.round(F.sum("depth"), 4).alias("sz"))
+    """A camera for each supplier; blocks that a frustum doesn't touch aren't looked at."""
+    return camera.view_sums(g1, c2).select("pos", "n", F.round("u", 4).alias("su"), F.round("depth", 4).alias("sz"))
 
 
 @query("a07_multi_view_vote", ("g1", "c1", "k1"), f"""

@@ -3,8 +3,9 @@
 import os
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from pointloom.operators import spatial
+from pointloom.operators import camera, spatial
 from pointloom.scratch import shared_dir
 
 
@@ -39,3 +40,22 @@ def test_deduplicate_writes_no_table_of_pairs(spark):
     before = scratch_bytes(spark)
     assert spatial.deduplicate(df, 0.1).count() == 1
     assert scratch_bytes(spark) - before < 1_000_000
+
+
+def test_view_sums_are_those_of_the_projection(spark, monkeypatch):
+    """Many cameras, some that see nothing, one without a pose, in small blocks; no pair of a row and a camera is made a row."""
+    r = np.random.default_rng(4)
+    df = points(spark, r.uniform(-10, 10, (900, 3)), [0.5] * 900).unionByName(spark.createDataFrame([(900, None, 0.0, 0.0, 0.5), (901, float("nan"), 0.0, 0.0, 0.5)], "gid long, x double, y double, z double, opacity double"))
+    cams = [(c, *map(float, np.linalg.qr(r.normal(size=(3, 3)))[0].ravel()), *map(float, r.uniform(-9, 9, 3)), 45.0, 42.0, 32.0, 30.0, 64, 64) for c in range(60)]
+    cams += [(60, *cams[0][1:10], 1e5, 1e5, 1e5, *cams[0][13:]), (61, None, *cams[0][2:])]
+    schema = ", ".join(["pos int", *[f"r{i}{j} double" for i in range(3) for j in range(3)], *[f"t{i} double" for i in range(3)], "fx double, fy double, cx double, cy double, width int, height int"])
+    cams = spark.createDataFrame(cams, schema)
+    monkeypatch.setattr(camera, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(camera, "BLOCK_CAMERAS", 10)
+    for own in ((), (64.0, 45.0)):
+        seen = camera.project(df, cams, *own).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("u"), F.sum("depth").alias("depth"))
+        want = {x["pos"]: x for x in seen.collect()}
+        got = {x["pos"]: x for x in camera.view_sums(df, cams, *own).collect()}
+        assert got.keys() == want.keys() and 30 < len(got) < 61
+        for pos, x in want.items():
+            assert got[pos]["n"] == x["n"] and np.isclose(got[pos]["u"], x["u"], rtol=1e-12) and np.isclose(got[pos]["depth"], x["depth"], rtol=1e-12)
