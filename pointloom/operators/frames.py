@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,9 +119,9 @@ def unified_numbers(sources: DataFrame, by: list[str]) -> DataFrame:
     return sources.withColumn("number", F.row_number().over(w) - 1).withColumn("filename", F.format_string("frame_%05d.jpg", F.col("number")))
 
 
-def update_selection(frames: DataFrame, patch: DataFrame) -> DataFrame:
-    """frames with selected overwritten by (filename, selected)."""
-    return frames.join(patch.select("filename", F.col("selected").alias("_s")), "filename", "left").withColumn("selected", F.coalesce("_s", "selected")).drop("_s")
+def update_selection(frames: DataFrame, patch: DataFrame, keys: Sequence[str] = ("filename",)) -> DataFrame:
+    """frames with selected overwritten by patch (keys, selected). The keys name one row of each; filename does where names are unique."""
+    return frames.join(patch.select(*keys, F.col("selected").alias("_s")), list(keys), "left").withColumn("selected", F.coalesce("_s", "selected")).drop("_s")
 
 
 def frame_counts(frames: DataFrame) -> DataFrame:

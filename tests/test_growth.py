@@ -4,8 +4,9 @@ import os
 
 import numpy as np
 from pyspark.sql import functions as F
+from tests.conftest import same
 
-from pointloom.operators import camera, spatial
+from pointloom.operators import camera, frames, spatial
 from pointloom.scratch import shared_dir
 
 
@@ -59,3 +60,20 @@ def test_view_sums_are_those_of_the_projection(spark, monkeypatch):
         assert got.keys() == want.keys() and 30 < len(got) < 61
         for pos, x in want.items():
             assert got[pos]["n"] == x["n"] and np.isclose(got[pos]["u"], x["u"], rtol=1e-12) and np.isclose(got[pos]["depth"], x["depth"], rtol=1e-12)
+
+
+def test_one_file_name_of_two_frames(spark):
+    """Frame numbers over 99999 are cut to five digits, so names repeat: each row has its own patch, none is doubled or lost."""
+    f1 = spark.createDataFrame([(i, n) for i, n in enumerate(["a", "a", "b", "b", "c"])], "idx long, filename string").withColumn("selected", F.lit(False))
+    patch = f1.where("idx in (1, 2, 3)").select("idx", "filename", F.lit(True).alias("selected"))
+    got = frames.update_selection(f1, patch, ["idx"])
+    assert sorted(tuple(x) for x in got.select("idx", "filename", "selected").collect()) == [(0, "a", False), (1, "a", True), (2, "b", True), (3, "b", True), (4, "c", False)]
+
+
+def test_frame_queries_past_five_digits(spark, duck, tmp_path):
+    from pointloom.plans import QUERIES, SQL
+
+    e = spark.createDataFrame([(i, 1, float(i * 37 % 100)) for i in [*range(9990, 10020), *range(99990, 100200)]], "event_id long, user_id long, value double")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("f12_update_selection",):
+        same(QUERIES[name](spark, str(tmp_path)), duck.sql(SQL[name].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")))
