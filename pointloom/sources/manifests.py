@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,10 +61,10 @@ def write_segments(segments: DataFrame, members: DataFrame, path: str) -> None:
     out.withColumnRenamed("segment_id", "id").write.mode("overwrite").json(path)
 
 
-def with_missing_frames(manifest: DataFrame, listing: DataFrame) -> DataFrame:
-    """Manifest rows, and a default row (sharpness 0, selected) for each listed file that it lacks."""
-    rest = listing.select("filename").join(manifest.select("filename"), "filename", "left_anti")
-    return manifest.unionByName(rest.select("filename", F.lit(0.0).alias("sharpness"), F.lit(True).alias("selected")), allowMissingColumns=True)
+def with_missing_frames(manifest: DataFrame, listing: DataFrame, keys: Sequence[str] = ("filename",)) -> DataFrame:
+    """Manifest rows, and a default row (sharpness 0, selected) for each listed file that it lacks. The keys (in both, filename among them) name one row."""
+    rest = listing.select(*keys).join(manifest.select(*keys), list(keys), "left_anti")
+    return manifest.unionByName(rest.select(*keys, F.lit(0.0).alias("sharpness"), F.lit(True).alias("selected")), allowMissingColumns=True)
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ from tests.conftest import same
 
 from pointloom.operators import camera, frames, spatial
 from pointloom.scratch import shared_dir
+from pointloom.sources import manifests
 
 
 def scratch_bytes(spark):
@@ -68,6 +69,9 @@ def test_one_file_name_of_two_frames(spark):
     patch = f1.where("idx in (1, 2, 3)").select("idx", "filename", F.lit(True).alias("selected"))
     got = frames.update_selection(f1, patch, ["idx"])
     assert sorted(tuple(x) for x in got.select("idx", "filename", "selected").collect()) == [(0, "a", False), (1, "a", True), (2, "b", True), (3, "b", True), (4, "c", False)]
+    some = f1.where("idx in (1, 3)").select("idx", "filename", F.lit(9.0).alias("sharpness"), "selected")
+    all_ = manifests.with_missing_frames(some, f1, ["idx", "filename"])
+    assert sorted((x["idx"], x["filename"], x["sharpness"]) for x in all_.collect()) == [(0, "a", 0.0), (1, "a", 9.0), (2, "b", 0.0), (3, "b", 9.0), (4, "c", 0.0)]
 
 
 def test_frame_queries_past_five_digits(spark, duck, tmp_path):
@@ -75,5 +79,5 @@ def test_frame_queries_past_five_digits(spark, duck, tmp_path):
 
     e = spark.createDataFrame([(i, 1, float(i * 37 % 100)) for i in [*range(9990, 10020), *range(99990, 100200)]], "event_id long, user_id long, value double")
     e.write.parquet(f"{tmp_path}/events.parquet")
-    for name in ("f12_update_selection",):
+    for name in ("f12_update_selection", "s11_missing_frames"):
         same(QUERIES[name](spark, str(tmp_path)), duck.sql(SQL[name].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")))
