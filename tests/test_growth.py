@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tests.conftest import same
 
-from pointloom.operators import camera, frames, spatial
+from pointloom.operators import camera, frames, neighbours, spatial
 from pointloom.scratch import shared_dir
 from pointloom.sources import manifests
 
@@ -81,3 +81,24 @@ def test_frame_queries_past_five_digits(spark, duck, tmp_path):
     e.write.parquet(f"{tmp_path}/events.parquet")
     for name in ("f12_update_selection", "s11_missing_frames"):
         same(QUERIES[name](spark, str(tmp_path)), duck.sql(SQL[name].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")))
+
+
+def test_nearest_of_copies_without_a_search(spark, monkeypatch):
+    """Rows that share a place aren't searched for; equal rows, one gid at two places and outliers too have brute force's answer."""
+    r = np.random.default_rng(6)
+    p = np.concatenate([r.normal(size=(300, 3)), np.repeat(r.normal(size=(40, 3)), 6, axis=0), [[1e6, 0.0, 0.0], [-0.0, 5.0, 5.0], [0.0, 5.0, 5.0]]])
+    gid = r.permutation(len(p)).tolist()
+    rows = [(g, *map(float, q)) for g, q in zip(gid, p, strict=True)]
+    rows += [rows[0], rows[310], (rows[5][0], 3.0, 3.0, 3.0), (9999, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "gid long, x double, y double, z double").repartition(3)
+    met, asked = neighbours._met, []
+    monkeypatch.setattr(neighbours, "_met", lambda points, queries, *rest: asked.append(queries.count()) or met(points, queries, *rest))
+    for capacity in (20, None):
+        got = {x["gid"]: (x["other"], x["d"]) for x in spatial.nn_distance(df, capacity).collect()}
+        ids, at = np.array([x[0] for x in rows[:-1]]), np.array([x[1:] for x in rows[:-1]])
+        assert got.keys() == set(ids.tolist())
+        for g, (other, dist) in got.items():
+            d2 = np.where(ids[None] == g, np.inf, ((at[ids == g][:, None] - at[None]) ** 2).sum(axis=2))
+            best = d2.min()
+            assert dist == np.sqrt(best) and other == min(ids[(d2 == best).any(axis=0)])
+    assert max(asked) <= 305
