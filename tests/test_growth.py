@@ -3,12 +3,14 @@
 import os
 
 import numpy as np
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tests.conftest import same
 
 from pointloom.operators import camera, frames, neighbours, spatial
 from pointloom.scratch import shared_dir
 from pointloom.sources import manifests
+from pointloom.streaming import sessions
 
 
 def scratch_bytes(spark):
@@ -102,3 +104,35 @@ def test_nearest_of_copies_without_a_search(spark, monkeypatch):
             best = d2.min()
             assert dist == np.sqrt(best) and other == min(ids[(d2 == best).any(axis=0)])
     assert max(asked) <= 305
+
+
+def test_a_run_reads_and_writes_its_state_once_a_batch():
+    """Steps in small batches, in any order, some without loss or evaluation: what telemetry_step gives, with one read and one write each."""
+
+    class Value:
+        held, calls = None, 0
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, new):
+            self.calls += 1
+            self.held = new
+
+    value, made = Value(), sessions.Telemetry(["run_id", "seq", "diverged", "stop", "best"], 6)
+    made.init(value)
+    r = np.random.default_rng(2)
+    rows = [Row(run_id=5, seq=i, loss=float(r.uniform(0, 9)), psnr=None if i < 4 or i % 5 == 0 else float(r.uniform(20, 30))) for i in range(60)]
+    state, want, got, batches = {}, [], [], 0
+    for x in rows:
+        state, flags = sessions.telemetry_step(state, x["loss"], x["psnr"], 6)
+        want.append((5, x["seq"], flags["diverged"], flags["stop"], flags["best"]))
+    for at in range(0, 60, 4):
+        got += [tuple(x) for x in made.handleInputRows((5,), iter(rows[at : at + 4][::-1]), None)]
+        batches += 1
+    assert got == want and any(x[2] for x in want) and any(x[3] for x in want)
+    assert value.calls == 2 * batches
