@@ -560,3 +560,61 @@ def test_passages_that_stand_twice(spark):
         held = {i for s in got[d]["spans"] for i in range(s["start"], s["start"] + s["n"])}
         assert all(held.issuperset(range(*s)) for s in spans)
         assert not any(w == f"p{d // 2}w45" for w in cut[d])
+
+
+def edited_families(number):
+    """Passages of 50 words with one word changed, of similarity 41 / 51, in texts that have nothing else in common."""
+    for f in range(number):
+        r = random.Random(f)
+        some = lambda n, r=r: [f"n{r.randrange(10**6)}" for _ in range(n)]
+        p = some(50)
+        yield " ".join(some(40) + p + some(40)), " ".join(some(30) + changed(p, {r.randrange(5, 45)}, "x") + some(50))
+
+
+def test_no_edited_passage_is_missed(spark):
+    """Two functions that must agree in one of four bands missed some of these."""
+    rows = [(2 * f + i, t) for f, texts in enumerate(edited_families(300)) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x["class_id"] for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
+
+
+def test_passage_that_ends_before_further_edits():
+    """Its rows of 28 and 24 common shingles are a passage (52 of 61), with the next rows they are none."""
+    import numpy as np
+
+    from pointloom.llm.shingles import shingled
+
+    r = np.random.default_rng(6)
+    p = r.integers(0, 1 << 62, 109, dtype=np.uint64)
+    q = list(p)
+    for at in (94, 60, 32):
+        q[at] = int(r.integers(0, 1 << 62))
+    q.insert(33, 1)
+    a, b = shingled(p), shingled(np.array(q, np.uint64))
+    for at in (4, 15):
+        got = substring_dedup.passages(a, b, [(at, at)], 46)
+        assert got
+        for s, e, s2, e2 in got:
+            x, y = set(a[s:e].tolist()), set(b[s2:e2].tolist())
+            assert e - s >= 46 and e2 - s2 >= 46 and len(x & y) >= 0.8 * len(x | y)
+
+
+def test_kinds_and_branches_against_definition():
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    for t in range(60):
+        seq, width = r.integers(0, 3 + t, int(r.integers(1, 120)), dtype=np.uint64), int(r.integers(6, 30))
+        assert substring_dedup._kinds(seq, width) == min((len(set(seq[i : i + width].tolist())) for i in range(max(1, len(seq) - width + 1))))
+        words = [r.integers(0, 3 + t, int(r.integers(5, 120)), dtype=np.uint64) for _ in range(3)]
+        got = {(i, a) for i, s, e in substring_dedup.branching(words, width) for a in range(s, e - width + 1)}
+        want = set()
+        for i, w in enumerate(words):
+            last, marks = {}, set()
+            for k in range(len(w) - 4):
+                g = tuple(w[k : k + 4].tolist())
+                if g in last and k - last[g] <= width and w[k + 4] != w[last[g] + 4]:
+                    marks |= {k, last[g]}
+                last[g] = k
+            want |= {(i, a) for a in range(len(w) - 4 - width + 1) if any(k in marks for k in range(a, a + width + 1))}
+        assert got == want
