@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pointloom.functions import morton
 from pointloom.operators import leaves, neighbours
@@ -87,3 +88,35 @@ def test_the_large_cloud_query_against_brute_force(spark, sf):
         d = np.sqrt(((p - p[i]) ** 2).sum(axis=1))
         d[i] = np.inf
         assert got[rows[i]["gid"]] == pytest.approx(d.min(), abs=2e-6)
+
+
+def test_what_a_radius_search_sends_goes_with_the_rows(spark):
+    """Eight times the rows at the same places: scratch tables hold each row once, and no more copies a row are sent than before."""
+    from pathlib import Path
+
+    from pointloom import scratch
+
+    p = np.random.default_rng(5).random((600, 3)) * 4
+    folder, copies = Path(scratch.shared_dir(spark).removeprefix("file:")), []
+    for k in (1, 8):
+        rows, before = np.tile(p, (k, 1)), set(folder.glob("*-*"))
+        got = neighbours.close_pairs(table(spark, rows), 0.5, capacity=20).select("gid", "other").collect()
+        near = ((rows[:, None] - rows[None]) ** 2).sum(axis=2) <= 0.25
+        assert sorted(map(tuple, got)) == [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+        tables = [x for x in set(folder.glob("*-*")) - before if any(x.glob("*.parquet"))]
+        assert sum(spark.read.parquet(str(x)).count() for x in tables) == len(rows)
+        leaves = neighbours.leaves_of(table(spark, rows), 20 * k, halved=True)
+        sent = neighbours._in_units(table(spark, rows), leaves, 0.5)
+        copies.append(sent.selectExpr("sum(size(gid)) n").first()["n"] / len(rows))
+    assert copies[1] <= 1.2 * copies[0]
+
+
+def test_rows_of_one_place_meet_in_units_of_bounded_size(spark):
+    p = np.vstack([np.zeros((400, 3)), np.full((300, 3), 0.1), np.random.default_rng(6).random((50, 3)) * 3])
+    df = table(spark, p)
+    near = ((p[:, None] - p[None]) ** 2).sum(axis=2) <= 0.09
+    got = neighbours.close_pairs(df, 0.3, capacity=20).select("gid", "other").collect()
+    assert sorted(map(tuple, got)) == [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+    units = neighbours._in_units(df, neighbours.leaves_of(df, 20, halved=True), 0.3)
+    most = units.groupBy("u", "v", "first").agg(F.sum(F.size("gid")).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    assert most <= 80  # 2 x 20 on average
