@@ -618,3 +618,67 @@ def test_kinds_and_branches_against_definition():
                 last[g] = k
             want |= {(i, a) for a in range(len(w) - 4 - width + 1) if any(k in marks for k in range(a, a + width + 1))}
         assert got == want
+
+
+def test_repeated_lines_are_ruled_out_before_verification(monkeypatch):
+    """A line of 11 words over and over, and a text that has it four times: many common places, few distinct shingles."""
+    import numpy as np
+
+    from pointloom.llm.shingles import shingled
+
+    r, opened = np.random.default_rng(5), []
+    some = lambda k: r.integers(0, 1 << 62, k, dtype=np.uint64)
+    line = some(11)
+    a, b = shingled(np.concatenate([some(80), np.tile(line, 12)])), shingled(np.concatenate([some(100), np.tile(line, 4), some(100)]))
+    monkeypatch.setattr(substring_dedup, "_passage", lambda *x: opened.append(x))
+    anchors = [(i, j) for i in range(80, len(a)) for j in range(100, 140) if a[i] == b[j]]
+    assert len(anchors) > 300 and substring_dedup.passages(a, b, anchors, 46) == [] and not opened
+
+
+def test_no_place_in_a_passage_is_ruled_out():
+    """Against all pairs of segments, on short sequences in which shingles stand again."""
+    import numpy as np
+
+    r, width, share, seen = np.random.default_rng(11), 8, 0.8, 0
+    for t in range(400):
+        kinds = int(r.integers(4, 60))
+        a = r.integers(0, kinds, int(r.integers(width, 22)), dtype=np.uint64)
+        b = a.copy() if t % 2 else r.permutation(a)
+        b[r.integers(0, len(b), int(r.integers(0, 4)))] = r.integers(0, 2 * kinds, dtype=np.uint64)
+        b = np.insert(b, r.integers(0, len(b), int(r.integers(0, 3))), np.uint64(99))
+        cut = lambda v: [(s, e, set(v[s:e].tolist())) for s in range(len(v)) for e in range(s + width, len(v) + 1)]
+        want = set()
+        for s, e, x in cut(a):
+            for s2, e2, y in cut(b):
+                if len(x & y) >= share * len(x | y):
+                    want |= {(i, j) for i in range(s, e) for j in range(s2, e2) if a[i] == b[j]}
+        got = set(substring_dedup._promising(a, b, [(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]], width, share))
+        assert want <= got, t
+        seen += len(want)
+    assert seen > 1000
+
+
+def test_blocks_rule_out_no_passage(spark):
+    """Edited copies among many texts that share one line over and over: the first leader is like none of them."""
+    r = random.Random(12)
+    some = lambda n: [f"n{r.randrange(10**6)}" for _ in range(n)]
+    line, rows = [f"l{i}" for i in range(20)], []
+    for n in range(30):
+        rows.append((n, " ".join(some(30) + line * (1 + n % 3) + some(60))))
+    for n in range(6):
+        body = [f"b{i}" for i in range(50)]
+        rows.append((100 + n, " ".join(some(20) + line + changed(body, {7 * n + 5}, f"v{n}x") + some(20))))
+    got = {x["doc_id"]: x["class_id"] for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {d for d, _ in rows if got[d] == 100} == {100 + n for n in range(6)}
+
+
+def test_long_passage_that_no_part_shows_is_not_ruled_out():
+    """Five lines, each eight times, with five shingles of a text's own each time: 45 of 55 as a whole, less in any part."""
+    import numpy as np
+
+    r = np.random.default_rng(13)
+    some = lambda k: r.integers(0, 1 << 62, k, dtype=np.uint64)
+    lines, own, other = [some(9) for _ in range(5)], some(5), some(5)
+    a, b = (np.concatenate([np.tile(np.concatenate([x, y]), 8) for x in lines]) for y in (own, other))
+    for at in (0, 3, 300, 550):
+        assert substring_dedup._promising(a, b, [(at, at)], 46, 0.8) == [(at, at)]
