@@ -72,6 +72,20 @@ def test_equal_passages_behind_unlike_leaders(spark):
     assert got == want
 
 
+def test_passages_within_a_component_behind_unlike_leaders(spark):
+    """Earlier documents hold phrases of a passage, two for each row of it; the two that have it whole are one component by another passage."""
+    rows, last = [], []
+    for f in range(10):
+        r = random.Random(100 + f)
+        p, q = words(r, 50, f"p{f}x"), words(r, 60, f"q{f}x")
+        docs = [words(r, 40) + p[at : at + 32] + words(r, 40) for at in (0, 7, 14, 18) for _ in range(2)] + [words(r, 35) + p + words(r, 300) + q + words(r, 35) for _ in range(2)]
+        rows += [(10 * f + n, " ".join(d)) for n, d in enumerate(docs)]
+        last.append(10 * f + 9)
+    got = {g["doc_id"]: g for g in substring_dedup.substring_dedup(spark.createDataFrame(rows, TWO).repartition(4)).collect()}
+    assert all({i for s in got[d]["spans"] for i in range(s["start"], s["start"] + s["n"])} >= {*range(35, 85), *range(385, 445)} for d in last)
+    assert {d for d in got if got[d]["n_dup_words"]} == {*last}
+
+
 @pytest.fixture
 def odd_documents(spark, odd_rows):
     r = random.Random(4)
