@@ -682,3 +682,20 @@ def test_long_passage_that_no_part_shows_is_not_ruled_out():
     a, b = (np.concatenate([np.tile(np.concatenate([x, y]), 8) for x in lines]) for y in (own, other))
     for at in (0, 3, 300, 550):
         assert substring_dedup._promising(a, b, [(at, at)], 46, 0.8) == [(at, at)]
+
+
+def test_starts_of_segments_take_bounded_memory():
+    """A very long text with common shingles all over: few starts are looked at together."""
+    import tracemalloc
+
+    import numpy as np
+
+    seq = np.random.default_rng(14).permutation(np.arange(60_000, dtype=np.uint64))
+    held, at = np.arange(60_000) % 3 > 0, np.arange(0, 60_000, 500)
+    tracemalloc.start()
+    try:
+        first, _ = substring_dedup._dense_starts(seq, held, at - 200, at + 100, 46, 0.6)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(first) > 10_000 and peak < 40 << 20
