@@ -5,7 +5,7 @@ nodes become one until one is left, the group's subroot; subroots become the roo
 
 1. Leaves are numbered within their group by ranges of the sort key, so no group is held
    by one task. A partition of the exchange is an aligned block of FANOUT ** local leaves:
-   it hashes its own subtree and keeps the way up for each of its leaves.
+   it hashes its own subtree, and again in the end, when its leaves get their way up.
 2. Butterfly: in round r, the FANOUT neighbouring subtrees of height r swap their roots.
    Partitions with the same lane (their number modulo FANOUT ** r) meet, one of each
    subtree; each of them learns its siblings and hashes their parent itself. So after
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, small_side, written
 from .numbering import numbered
 
-#: Nodes that become one, and levels that a partition hashes by itself (8 ** 3 leaves a partition).
-FANOUT, LOCAL = 8, 3
+#: Nodes that become one, and levels that a partition hashes by itself (8 ** 2 leaves a partition, about 10 KB).
+FANOUT, LOCAL = 8, 2
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: A step up: what stands left and right of the node in its run.
 _STEP = "array<struct<l:string,r:string>>"
@@ -70,26 +70,38 @@ def _beside(nodes: Column, at: Column) -> Column:
     return F.struct(left.alias("l"), right.alias("r"))
 
 
+def _with_levels(own: DataFrame, local: int) -> DataFrame:
+    """own (n, m) with the levels above the leaves in m as level0, level1, ...; those that the group doesn't have are null."""
+    own = own.withColumn("level0", F.transform("m", lambda x: x["leaf"]))
+    for k in range(local):  # several nodes of the group on this level
+        own = own.withColumn(f"level{k + 1}", F.when(F.col("n") > FANOUT**k, _parents(F.col(f"level{k}"))))
+    return own
+
+
 def blocks(rows: DataFrame, local: int = LOCAL) -> DataFrame:
-    """(grp, b, parts, node, m): each aligned block of leaves with its subtree's root; m holds its leaves, each with its steps up.
+    """(grp, b, parts, n, node, m): each aligned block of leaves with its subtree's root; m holds its leaves, and what they become if that is another.
 
     rows: grp, doc_id, leaf, other, i (number within the group), n (leaves of the group).
     """
     size = FANOUT**local
     b = F.floor(F.col("i") / size)
-    own = rows.groupBy("grp", b.alias("b")).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "doc_id", "leaf", "other"))).alias("m"))
-    own = own.withColumn("level0", F.transform("m", lambda x: x["leaf"])).withColumn("node", F.col("level0")[0])
-    for k in range(local):
-        goes_on = F.col("n") > FANOUT**k  # several nodes of the group on this level
-        own = own.withColumn(f"level{k + 1}", F.when(goes_on, _parents(F.col(f"level{k}"))))
-        own = own.withColumn("node", F.when(goes_on, F.col(f"level{k + 1}")[0]).otherwise(F.col("node")))
+    leaf = F.struct("i", "doc_id", "leaf", F.when(F.col("other") != F.col("leaf"), F.col("other")).alias("other"))
+    own = rows.groupBy("grp", b.alias("b")).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(leaf)).alias("m"))
+    own = _with_levels(own, local)
+    node = F.coalesce(*[F.col(f"level{k}")[0] for k in range(local, -1, -1)])
+    m = F.transform("m", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["leaf"].alias("leaf"), x["other"].alias("other")))
+    return own.select("grp", "b", F.ceil(F.col("n") / size).alias("parts"), "n", node.alias("node"), m.alias("m"))
 
-    def up(j: Column) -> Column:
-        steps = [F.when(F.col("n") > FANOUT**k, F.array(_beside(F.col(f"level{k}"), F.floor(j / FANOUT**k).cast("int")))).otherwise(F.array().cast(_STEP)) for k in range(local)]
-        return F.concat(F.array().cast(_STEP), *steps)
 
-    m = F.transform("m", lambda x, j: F.struct(x["doc_id"].alias("doc_id"), x["leaf"].alias("leaf"), x["other"].alias("other"), up(j).alias("up")))
-    return own.select("grp", "b", F.ceil(F.col("n") / size).alias("parts"), "node", m.alias("m"))
+def _leaves_of(own: DataFrame, local: int, *columns: str) -> DataFrame:
+    """(doc_id, leaf, other, up, *columns) of each leaf of blocks (n, m, *columns), with its steps up within the block.
+
+    The steps are some hundred bytes a leaf and level, so they are made here, row by row, and never lie in a block.
+    """
+    levels = [f"level{k}" for k in range(local)]
+    rows = _with_levels(own, local).select(*columns, "n", *levels, F.posexplode("m").alias("j", "x"))
+    steps = [F.when(F.col("n") > FANOUT**k, F.array(_beside(F.col(x), F.floor(F.col("j") / FANOUT**k).cast("int")))).otherwise(F.array().cast(_STEP)) for k, x in enumerate(levels)]
+    return rows.select("x.doc_id", "x.leaf", F.coalesce("x.other", "x.leaf").alias("other"), F.concat(F.array().cast(_STEP), *steps).alias("up"), *columns)
 
 
 def butterfly(nodes: DataFrame, rounds: int) -> DataFrame:
@@ -136,7 +148,7 @@ def siblings(up: Column) -> Column:
 def manifest(docs: DataFrame, tampered: Column | None = None, text: Column | None = None, local: int = LOCAL) -> DataFrame:
     """(doc_id, leaf, other, subroot, root, up): each leaf with its steps up to the root."""
     rows = numbered(written(leaves(docs, tampered, text), "leaves"), ["grp"], ["doc_id", "leaf", "other"])
-    parts = written(blocks(rows, local), "blocks")
+    parts = written(blocks(rows, local), "blocks", wide=True)
     most = parts.agg(F.max("parts")).first()[0]
     if most is None:
         return rows.select("doc_id", "leaf", "other", F.lit("").alias("subroot"), F.lit("").alias("root"), F.array().cast(_STEP).alias("up"))
@@ -149,7 +161,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None, text: Column | Non
     up = up.join(small_side(tops), F.col("grp").eqNullSafe(F.col("grp2"))).select(F.col("grp").alias("grp1"), F.col("b").alias("b1"), "subroot", "root", F.concat("up1", "up2").alias("top"))
     # A row a block on both sides.
     both = parts.join(up, F.col("grp").eqNullSafe(F.col("grp1")) & (F.col("b") == F.col("b1")))
-    return both.select("subroot", "root", "top", F.explode("m").alias("x")).select("x.doc_id", "x.leaf", "x.other", "subroot", "root", F.concat("x.up", "top").alias("up"))
+    return _leaves_of(both, local, "subroot", "root", "top").select("doc_id", "leaf", "other", "subroot", "root", F.concat("up", "top").alias("up"))
 
 
 def merkle_digest(docs: DataFrame, local: int = LOCAL) -> DataFrame:

@@ -248,3 +248,18 @@ def test_queries_read_whole_tables(spark, sf):
     docs, pages, vectors = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages", "embeddings"))
     assert q["op11_merkle_manifest"](spark, sf).count() == docs and q["op12_warc"](spark, sf).count() == pages
     assert q["op13_whitening"](spark, sf).agg(F.countDistinct("vec_id")).first()[0] == vectors
+
+
+def test_blocks_hold_leaves_only(spark):
+    """A row of the table of blocks doesn't hold the siblings of each leaf: bytes a leaf, written without compression."""
+    import glob
+    import os
+    import tempfile
+
+    rows = [(i, "s", "en", i, f"Text {i}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, MANIFEST)
+    numbered_ = numbering.numbered(merkle.leaves(docs), ["grp"], ["doc_id", "leaf", "other"])
+    with tempfile.TemporaryDirectory() as d:
+        merkle.blocks(numbered_).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(f"{d}/blocks")
+        size = sum(os.path.getsize(f) for f in glob.glob(f"{d}/blocks/*.parquet"))
+    assert size < 250 * len(rows)
