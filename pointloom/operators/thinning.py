@@ -47,26 +47,55 @@ def _sent(rows: DataFrame, leaves: Leaves, r: float) -> DataFrame:
     return rows.mapInArrow(run, _SENT)
 
 
+def _runs(p: np.ndarray, r: float) -> tuple[np.ndarray, list[int], list[int], list[int]]:
+    """(order, at, low, high): what lies within r of place i is among order[low[k]:high[k]], k from at[i] to at[i + 1].
+
+    Places are put into columns along the longest axis, about r wide; a ball meets nine of them at most, each in a run.
+    """
+    n, axes = len(p), np.argsort(-np.ptp(p, axis=0), kind="stable")
+    room = r * (1 + 1e-9) + 1e-9 * float(np.abs(p).max())
+    cell = []
+    for axis in axes[1:]:
+        least, width = p[:, axis].min(), max(room, float(np.ptp(p[:, axis])) / (1 << 29))
+        cell.append(np.floor((p[:, axis] - least) / width).astype(np.int64) + 1 if width else np.ones(n, np.int64))
+    line = p[:, axes[0]]
+    values, (columns, own) = np.sort(line), np.unique((cell[0] << 31) + cell[1], return_inverse=True)
+    place = own * (n + 1) + np.searchsorted(values, line, side="left")
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    first, last = np.searchsorted(values, line - room, side="left"), np.searchsorted(values, line + room, side="right")
+    found = []
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            column = np.searchsorted(columns, wanted := ((cell[0] + i) << 31) + cell[1] + j)
+            who = np.flatnonzero(columns[np.minimum(column, len(columns) - 1)] == wanted)
+            begin = column[who] * (n + 1)
+            found.append((who, np.searchsorted(place, begin + first[who]), np.searchsorted(place, begin + last[who])))
+    who, low, high = (np.concatenate([f[k] for f in found]) for k in range(3))
+    some = np.flatnonzero(low < high)
+    some = some[np.argsort(who[some], kind="stable")]
+    return order, np.append(0, np.cumsum(np.bincount(who[some], minlength=n))).tolist(), low[some].tolist(), high[some].tolist()
+
+
 def decided(p: np.ndarray, own: np.ndarray, kept: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
     """(kept, gone) of places in order of priority. Kept ones were so before, or are own and wait for none."""
-    axis = int(np.argmax(np.ptp(p, axis=0)))
-    order = np.argsort(p[:, axis], kind="stable")  # neighbours are within a span of the longest axis
-    x, y, z = (p[order, i] for i in range(3))
-    line = p[order, axis]
-    room = r * (1 + 1e-9) + 1e-9 * float(np.abs(line).max())
-    low, high = np.searchsorted(line, p[:, axis] - room, side="left"), np.searchsorted(line, p[:, axis] + room, side="right")
     kept, gone, waits = kept.copy(), np.zeros(len(p), bool), np.zeros(len(p), bool)
+    if not len(p):
+        return kept, gone
+    order, at, low, high = _runs(p, r)
+    x, y, z = (p[order, i] for i in range(3))
     for i in range(len(p)):
         if gone[i]:
             continue
         kept[i] |= own[i] and not waits[i]
-        span = slice(low[i], high[i])
-        # The same operations as in the search for close pairs.
-        d2 = (x[span] - p[i, 0]) ** 2
-        d2 += (y[span] - p[i, 1]) ** 2
-        d2 += (z[span] - p[i, 2]) ** 2
-        near = order[span][d2 <= r * r]
-        (gone if kept[i] else waits)[near[near > i]] = True
+        for k in range(at[i], at[i + 1]):
+            span = slice(low[k], high[k])
+            # The same operations as in the search for close pairs.
+            d2 = (x[span] - p[i, 0]) ** 2
+            d2 += (y[span] - p[i, 1]) ** 2
+            d2 += (z[span] - p[i, 2]) ** 2
+            near = order[span][d2 <= r * r]
+            (gone if kept[i] else waits)[near[near > i]] = True
     return kept, gone
 
 
@@ -98,7 +127,7 @@ def thinned(df: DataFrame, r: float, priority: str = "opacity", capacity: int |
     ranked = df.select(F.col("gid").cast("long").alias("gid"), *[F.col(a).cast("double").alias(a) for a in AXES], grade.alias("grade"), F.when(grade == 1, o).otherwise(0.0).alias("o"))
     first = sound(ranked).groupBy(*AXES).agg(F.max(F.struct("grade", "o", (-F.col("gid")).alias("g"))).alias("m"))
     live = written(first.select((-F.col("m.g")).alias("gid"), *AXES, "m.grade", "m.o", F.lit(False).alias("kept")), "places")
-    leaves, rounds = leaves_of(live, capacity), []
+    leaves, rounds = leaves_of(live, capacity, halved=True), []  # of boxes that do not overlap, so few rows are sent twice or wait
     while not live.where("not kept").isEmpty():
         live = written(_walked(_sent(live, leaves, r), r), "thinned")
         rounds.append(live.where("kept").select(F.col("gid").alias("_gid"), *[F.col(a).alias(f"_{a}") for a in AXES]))

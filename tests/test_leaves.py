@@ -120,3 +120,29 @@ def test_rows_of_one_place_meet_in_units_of_bounded_size(spark):
     units = neighbours._in_units(df, neighbours.leaves_of(df, 20, halved=True), 0.3)
     most = units.groupBy("u", "v", "first").agg(F.sum(F.size("gid")).alias("n")).agg(F.max("n").alias("n")).first()["n"]
     assert most <= 80  # 2 x 20 on average
+
+
+def test_thinning_sends_few_rows_twice(spark, monkeypatch):
+    """Leaves of boxes that overlap sent rows in the midst of one leaf to others, where they wait."""
+    from pointloom.operators import thinning
+
+    r, sent, send = np.random.default_rng(21), [], thinning._sent
+    rows = [(i, float(x), float(y), float(z), 0.0) for i, (x, y, z) in enumerate(zip(r.integers(1, 51, 12_000), r.random(12_000) * 52, r.integers(0, 19, 12_000), strict=True))]
+    monkeypatch.setattr(thinning, "_sent", lambda *a: sent.append(out := send(*a)) or out)
+    kept = thinning.thinned(spark.createDataFrame(rows, "gid long, x double, y double, z double, opacity double"), 0.3, capacity=500).count()
+    assert 0 < kept < 12_000 and sent[0].count() < 1.15 * 12_000
+
+
+def test_runs_hold_all_that_is_near():
+    from pointloom.operators import thinning
+
+    r = np.random.default_rng(22)
+    for t in range(60):
+        p = r.random((int(r.integers(1, 120)), 3)) * [1, r.random(), 10.0 ** r.integers(-3, 4)]
+        p = np.round(p * 8) / 8 if t % 3 == 0 else p
+        radius = float(r.choice([0, 0.05, 0.125, 0.5, 20]))
+        order, at, low, high = thinning._runs(p, radius)
+        near = ((p[:, None] - p[None]) ** 2).sum(axis=2) <= radius * radius
+        for i in range(len(p)):
+            held = [j for k in range(at[i], at[i + 1]) for j in order[low[k] : high[k]].tolist()]
+            assert len(held) == len(set(held)) and set(np.flatnonzero(near[i]).tolist()) <= set(held)
